@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -57,6 +58,25 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> str:
+    """Delete the path when the driver's interpreter ends, if the session is still there."""
+
+    def gone() -> None:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            delete_path(spark, path)
+
+    atexit.register(gone)
+    return path
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Compute once and keep as Parquet in the shared folder, for tables too large for a checkpoint's uncompressed rows."""
+    spark = df.sparkSession
+    path = delete_at_exit(spark, scratch_path(spark, name))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def chunks_of_rows(offsets, most: int):
     """Ranges [i, j) of rows whose bytes come to ``most`` at the utmost; a longer row stands alone."""
     i, n = 0, len(offsets) - 1

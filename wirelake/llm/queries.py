@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wirelake.llm import op01_license, op02_quality, op05_secrets, op06_minhash, op10_mixing
+from wirelake.llm import op01_license, op02_quality, op03_embedding, op04_packing, op05_secrets, op06_minhash, op07_html, op08_tokens, op09_warc, op10_mixing
 
-_MODULES = (op01_license, op02_quality, op05_secrets, op06_minhash, op10_mixing)
+_MODULES = (op01_license, op02_quality, op03_embedding, op04_packing, op05_secrets, op06_minhash, op07_html, op08_tokens, op09_warc, op10_mixing)
 
 
 def queries() -> dict:
