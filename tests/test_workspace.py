@@ -1,0 +1,300 @@
+import json
+from dataclasses import replace
+from datetime import UTC, datetime
+
+import duckdb
+import pyarrow.parquet as pq
+import pytest
+from packets import MIXED, PORT, SRC, UDP, capture, tcp
+from pyspark.sql import functions as F
+
+from wirelake.binding import collisions, column_name
+from wirelake.errors import (
+    ColumnNameCollisionError,
+    FieldDeclarationMismatchError,
+    FieldNotMaterializedError,
+    FieldNotProjectedError,
+    MaterializationMismatchError,
+    MissingStreamFieldsError,
+    SchemaVersionError,
+    UnsupportedExprError,
+    WorkspaceAliasError,
+    WorkspaceError,
+    WorkspaceModeError,
+)
+from wirelake.expr import FieldRef
+from wirelake.operators.rollup import REQUIRED, streams
+from wirelake.sources.capture import BuiltIn, Dumped
+from wirelake.workspace import Workspace, cache_key, fingerprint
+from wirelake.workspace.catalog import residue
+
+LEN = FieldRef("frame.len", "FT_UINT32")
+NUMBER = FieldRef("frame.number", "FT_FRAMENUM")
+STREAM_REFS = tuple(FieldRef(n, "FT_IPv4" if n.startswith("ip.") else "FT_UINT32" if n.endswith(("len", "stream")) else "FT_UINT16") for n in REQUIRED)
+
+
+@pytest.fixture
+def mixed(tmp_path):
+    return capture(tmp_path / "mixed.pcap", MIXED)
+
+
+@pytest.fixture
+def ws(spark, tmp_path):
+    return Workspace(spark, str(tmp_path / "ws"), "rw")
+
+
+def numbers(query):
+    return [r.frame_number for r in query]
+
+
+def test_materialize_then_hit_then_backfill(spark, ws, mixed):
+    first = ws.materialize(mixed, [SRC, PORT])
+    assert (first.outcome, first.row_count, [f.column_name for f in first.fields]) == ("materialized", 5, ["ip_src", "tcp_port"])
+    assert ws.materialize(mixed, [SRC]).outcome == "hit" and ws.materialize(mixed, [PORT, NUMBER]).outcome == "hit"
+    assert "frame.number" in ws.catalog.keys[0].fields  # the key was widened
+    more = ws.materialize(mixed, [SRC, UDP, LEN])
+    assert (more.outcome, more.row_count, [f.abbrev for f in more.added_fields]) == ("backfilled", 5, ["frame.len", "udp.port"])
+    assert more.cache_key.key == cache_key(mixed, ["ip.src", "tcp.port", "frame.number", "udp.port", "frame.len"], None, BuiltIn().version(), BuiltIn().command(mixed, None, [NUMBER, FieldRef("frame.time_epoch", "FT_ABSOLUTE_TIME"), LEN, SRC, PORT, UDP])).key
+    assert len(ws.catalog.keys) == 1
+    rows = {r.frame_number: (r.get(SRC) and str(r.get(SRC)), r.get_all(PORT), r.get_all(UDP)) for r in ws.query().select(SRC, PORT, UDP)}
+    assert rows == {1: ("10.0.0.1", (51234, 443), ()), 2: ("10.0.0.2", (443, 51234), ()), 3: ("10.0.0.3", (52000, 8080), ()), 4: ("10.0.0.1", (), (53534, 53)), 5: (None, (), ())}
+
+
+def test_materialize_a_filter(ws, mixed):
+    r = ws.materialize(mixed, [SRC], filter=PORT == 443)
+    assert r.row_count == 2 and r.display == "tcp.port == 443" and numbers(ws.query()) == [1, 2]
+    with pytest.raises(MaterializationMismatchError, match="filter"):
+        ws.materialize(mixed, [SRC])
+    with pytest.raises(UnsupportedExprError):
+        ws.materialize(mixed, [SRC], filter=FieldRef("frame.time", "FT_ABSOLUTE_TIME") > "0")
+
+
+def test_what_changed_is_named(ws, mixed):
+    ws.materialize(mixed, [SRC])
+    with pytest.raises(MaterializationMismatchError, match="declared otherwise"):
+        ws.materialize(mixed, [FieldRef("ip.src", "FT_STRING")])
+    with pytest.raises(ColumnNameCollisionError):
+        ws.materialize(mixed, [FieldRef("ip-src")])
+    with open(mixed, "ab") as f:
+        f.write(b"\0")
+    with pytest.raises(MaterializationMismatchError, match="capture"):
+        ws.materialize(mixed, [SRC])
+    assert numbers(ws.query()) == [1, 2, 3, 4, 5]  # nothing was lost
+
+
+def test_version_and_arguments_belong_to_the_identity(spark, ws, tmp_path):
+    (tmp_path / "t.txt").write_text("1\x1f1.0\x1f10.0.0.1\n")
+    refs = (NUMBER, FieldRef("frame.time_epoch", "FT_ABSOLUTE_TIME"), SRC)
+    d = Dumped(str(tmp_path / "t.txt"), refs)
+    ws.materialize(str(tmp_path / "t.txt"), [SRC], dissector=d)
+    with pytest.raises(MaterializationMismatchError, match="version"):
+        ws.materialize(str(tmp_path / "t.txt"), [SRC], dissector=replace(d, stated="other"))
+    assert residue(["x", "-r", "a", "-Y", "b", "-T", "fields", "-e", "c"]) == ("x", "-T", "fields")
+
+
+def test_drift_and_broken_row_keys(spark, ws, tmp_path):
+    text = tmp_path / "t"
+    text.mkdir()
+    (text / "a.txt").write_text("1\x1f1.0\x1f10.0.0.1\n2\x1f2.0\x1f\n")
+    refs = (NUMBER, FieldRef("frame.time_epoch", "FT_ABSOLUTE_TIME"), SRC)
+    source = tmp_path / "source"
+    source.write_text("x")
+    ws.materialize(str(source), [], dissector=Dumped(str(text), refs))
+    before = ws.catalog
+    (text / "a.txt").write_text("1\x1f1.0\x1f10.0.0.1\n3\x1f2.0\x1f\n3\x1f2.0\x1f\n")
+    with pytest.raises(WorkspaceError, match=r"several times: \[3\].*not stored: \[3.*not scanned: \[2\]"):
+        ws.materialize(str(source), [SRC], dissector=Dumped(str(text), refs))
+    assert ws.catalog == before and not [n for n in ws.files.names() if n.startswith("stage-")]
+
+
+def test_a_catalog_at_odds_is_refused(spark, ws, mixed):
+    ws.materialize(mixed, [SRC])
+    c = ws.catalog
+    with ws.write() as change:
+        change.catalog = c.with_(keys=(replace(c.keys[0], fields=("ip.src", "tcp.port")),))
+    with pytest.raises(WorkspaceError, match="at odds"):
+        ws.materialize(mixed, [SRC])
+    with ws.write() as change:
+        change.catalog = c.with_(keys=c.keys * 2)
+    with pytest.raises(WorkspaceError, match="2 cache keys"):
+        ws.materialize(mixed, [SRC])
+    with ws.write() as change:
+        change.catalog = c.with_(keys=())
+    with pytest.raises(WorkspaceError, match="without a cache key"):
+        ws.materialize(mixed, [SRC])
+    with ws.write() as change:
+        change.put("pkts", ws.table("pkts", c).withColumn("ip_src", F.lit("x")))
+        change.catalog = change.catalog.with_(keys=c.keys)
+    with pytest.raises(WorkspaceError, match="ip_src is string"):
+        ws.materialize(mixed, [SRC])
+
+
+def test_modes_locks_and_foreign_folders(spark, ws, mixed, tmp_path):
+    ws.materialize(mixed, [SRC])
+    ro = Workspace(spark, ws.path)
+    with pytest.raises(WorkspaceModeError):
+        ro.materialize(mixed, [SRC])
+    with ws.write(), pytest.raises(WorkspaceError, match="being written"):
+        ws.build_streams()
+    with pytest.raises(WorkspaceError, match="no workspace"):
+        Workspace(spark, str(tmp_path / "none"))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x").write_text("")
+    with pytest.raises(WorkspaceError, match="other files"):
+        Workspace(spark, str(tmp_path / "other"), "rw")
+    name = ws.files.read("CURRENT")
+    x = json.loads(ws.files.read(name)) | {"layout": 1}
+    ws.files.replace(name, json.dumps(x))
+    with pytest.raises(SchemaVersionError):
+        Workspace(spark, ws.path)
+
+
+def test_a_failed_change_leaves_nothing(spark, ws, mixed):
+    ws.materialize(mixed, [SRC])
+    before = ws.files.names()
+    with pytest.raises(ZeroDivisionError), ws.write() as change:
+        change.put("streams", spark.range(3).toDF("x"))
+        1 / 0
+    assert ws.files.names() == before
+
+
+def test_queries(spark, ws, mixed):
+    ws.materialize(mixed, [SRC, PORT])
+    q = ws.query().filter(PORT == 443)
+    assert numbers(q) == [1, 2] and numbers(q.filter(SRC == "10.0.0.1")) == [1] and numbers(q) == [1, 2]
+    row = next(iter(q.select(SRC)))
+    assert row.frame_time == datetime.fromtimestamp(1_700_000_100, UTC) and row.get(NUMBER) == 1
+    for bad, error in ((lambda: row.get(PORT), FieldNotProjectedError), (lambda: row.get_all(SRC), TypeError), (lambda: row.get(FieldRef("ip.src")), FieldDeclarationMismatchError)):
+        with pytest.raises(error):
+            bad()
+    with pytest.raises(TypeError):
+        ws.query().filter(lambda p: True)
+    late = ws.query().filter(UDP == 53).select(FieldRef("x"), FieldRef("ip.src"))  # no refusal before it runs
+    with pytest.raises(FieldNotMaterializedError, match="udp.port, x"):
+        list(late)
+    with pytest.raises(FieldDeclarationMismatchError):
+        list(ws.query().select(FieldRef("ip.src")))
+    with pytest.raises(FieldDeclarationMismatchError):
+        list(ws.query().filter(FieldRef("frame.number", "FT_STRING") == "1"))
+    assert ws.query().dataframe().columns == ["frame_number", "frame_time", "ip_src", "tcp_port"]
+    assert ws.query().select(PORT, SRC, PORT).dataframe().columns == ["frame_number", "frame_time", "tcp_port", "ip_src"]
+    t = q.select(SRC).arrow()
+    assert t.column_names == ["frame_number", "frame_time", "ip_src"] and t.num_rows == 2
+    text, args = ws.query().filter(~(PORT == 443), SRC.present()).select(SRC).sql()
+    assert "?" in text and "443" not in text and args[0] == 443
+    assert [r[0] for r in ws.sql(text, args).collect()] == numbers(ws.query().filter(~(PORT == 443), SRC.present())) == [3, 4]
+
+
+ROLLUP = [(1, 54, "10.0.0.1", "10.0.0.2", (0, 51234, 443), None), (2, 60, "10.0.0.3", "10.0.0.4", (1, 52000, 8080), None), (3, 66, "10.0.0.2", "10.0.0.1", (0, 443, 51234), None), (4, 73, "10.0.0.1", "10.0.0.9", None, (0, 53534, 53)), (5, 90, "10.0.0.9", "10.0.0.1", None, (0, 53, 53534)), (6, 42, None, None, None, None)]
+
+
+def test_streams_of_rows(spark):
+    from ipaddress import IPv4Address
+
+    ip = lambda a: None if a is None else int(IPv4Address(a))
+    rows = [(n, datetime(2026, 8, 18, 0, 0, n - 1), size, ip(a), ip(b), *(t or (None,) * 3), *(u or (None,) * 3)) for n, size, a, b, t, u in ROLLUP]
+    names = ["frame.len", "ip.src", "ip.dst", "tcp.stream", "tcp.srcport", "tcp.dstport", "udp.stream", "udp.srcport", "udp.dstport"]
+    df = spark.createDataFrame(rows, "frame_number long, frame_time timestamp_ntz, " + ", ".join(f"c{i} long" for i in range(9)))
+    got = [tuple(r) for r in streams(df, {n: F.col(f"c{i}") for i, n in enumerate(names)}).orderBy("protocol", "stream_id").select("protocol", "stream_id", "src_addr", "src_port", "dst_addr", "dst_port", "first_frame", "last_frame", "pkt_count", "byte_count").collect()]
+    assert got == [("tcp", 0, ip("10.0.0.1"), 51234, ip("10.0.0.2"), 443, 1, 3, 2, 120), ("tcp", 1, ip("10.0.0.3"), 52000, ip("10.0.0.4"), 8080, 2, 2, 1, 60), ("udp", 0, ip("10.0.0.1"), 53534, ip("10.0.0.9"), 53, 4, 5, 2, 163)]
+
+
+def test_streams_of_a_workspace(spark, ws, mixed):
+    ws.materialize(mixed, [SRC])
+    with pytest.raises(MissingStreamFieldsError) as e:
+        ws.build_streams()
+    assert "tcp.stream" in e.value.missing and "ip.src" not in e.value.missing
+    ws.materialize(mixed, STREAM_REFS)
+    for _ in range(2):
+        r = ws.build_streams()
+        assert (r.tcp_streams, r.udp_streams, r.total) == (2, 1, 3)
+    joined = ws.sql("SELECT p.frame_number, s.pkt_count FROM pkts p JOIN streams s ON s.protocol = 'tcp' AND s.stream_id = p.tcp_stream ORDER BY 1").collect()
+    assert [tuple(r) for r in joined] == [(1, 2), (2, 2), (3, 1)]
+
+
+def test_annotations(spark, ws, mixed):
+    ws.materialize(mixed, STREAM_REFS)
+    ws.build_streams()
+    at = datetime(2026, 1, 2, tzinfo=UTC)
+    ids = [ws.add_annotation("packet", 1, "note", "x", created_at=at), ws.add_annotation("packet", 99, "note"), ws.add_annotation("stream", 0, "flag", protocol="tcp"), ws.add_annotation("stream", 7, "flag", protocol="udp")]
+    assert ids == [1, 2, 3, 4]
+    assert [(a.annotation_id, a.orphaned) for a in ws.list_annotations()] == [(1, False), (2, True), (3, False), (4, True)]
+    first = ws.list_annotations(target_id=1)[0]
+    assert (first.value, first.created_at, first.protocol) == ("x", at, None) and len(ws.list_annotations(scope="stream", key="flag")) == 2 and len(ws.list_annotations(protocol="udp")) == 1
+    for bad in (("frame", 1, "k", None, None, None), ("stream", 1, "k", None, None, None), ("packet", 1, "k", None, "tcp", None), ("packet", 1, "", None, None, None)):
+        with pytest.raises(ValueError):
+            ws.add_annotations([bad])
+    with pytest.raises(ValueError):
+        ws.remove_annotations()
+    assert ws.remove_annotation(3) and not ws.remove_annotation(3) and ws.delete_orphan_annotations() == 2 and ws.remove_annotations(scope="packet", key="note") == 1
+    assert ws.list_annotations() == () and ws.add_annotation("packet", 1, "again") == 5  # numbers aren't used again
+    with ws.write() as change:
+        change.catalog = change.catalog.with_(next_annotation=None)
+    with pytest.raises(WorkspaceError, match="mark"):
+        ws.add_annotation("packet", 1, "k")
+
+
+def test_attached_workspaces(spark, ws, mixed, tmp_path):
+    ws.materialize(mixed, [SRC])
+    other = Workspace(spark, str(tmp_path / "other"), "rw")
+    other.materialize(capture(tmp_path / "o.pcap", [tcp("10.0.0.1", 1, "10.0.0.5", 2)] * 2), [SRC, PORT])
+    for path, alias in ((other.path, "1a"), (other.path, "main"), (other.path, "a b"), (ws.path, "self"), (ws.path + "/", "self")):
+        with pytest.raises(WorkspaceAliasError):
+            ws.attach(path, alias)
+    ws.attach(other.path, "late")
+    with pytest.raises(WorkspaceAliasError):
+        ws.attach(other.path, "LATE")
+    assert ws.attachments == {"late": other.path} and numbers(ws.query("late").filter(PORT == 2)) == [1, 2]
+    assert ws.sql("SELECT count(*) FROM pkts a JOIN late__pkts b ON a.ip_src = b.ip_src").first()[0] == 4
+    assert [r[0] for r in ws.sql("SELECT frame_number FROM pkts a ANTI JOIN late__pkts b ON a.ip_src = b.ip_src ORDER BY 1").collect()] == [2, 3, 5]
+    q = ws.query("late")
+    ws.detach("late")
+    for stale in (lambda: list(q), lambda: ws.query("late"), lambda: ws.detach("late")):
+        with pytest.raises(WorkspaceAliasError):
+            stale()
+    with pytest.raises(WorkspaceError):
+        ws.attach(str(tmp_path / "nothing"), "x")
+    assert ws.attachments == {}
+
+
+def test_export_and_compact(spark, ws, tmp_path):
+    six, rtt = FieldRef("ipv6.src", "FT_IPv6"), FieldRef("tcp.rtt", "FT_RELATIVE_TIME")
+    refs = (NUMBER, FieldRef("frame.time_epoch", "FT_ABSOLUTE_TIME"), six, rtt, PORT)
+    (tmp_path / "t.txt").write_text("1\x1f1.000001\x1fffff::1\x1f1.000001\x1f80\x1e81\n2\x1f2.0\x1f\x1f\x1f\n")
+    ws.materialize(str(tmp_path / "t.txt"), [six, rtt], dissector=Dumped(str(tmp_path / "t.txt"), refs))
+    ws.materialize(str(tmp_path / "t.txt"), [PORT], dissector=Dumped(str(tmp_path / "t.txt"), refs))
+    out = ws.export_parquet("pkts", str(tmp_path / "out.parquet"))
+    t = pq.read_table(out).sort_by("frame_number").to_pylist()
+    assert t[0]["ipv6_src"] == str(int.from_bytes(bytes.fromhex("ffff" + "00" * 12 + "0001"), "big")) and t[0]["tcp_rtt"] == "00:00:01.000001" and t[0]["tcp_port"] == [80, 81] and t[1]["tcp_port"] == []
+    assert duckdb.sql(f"SELECT count(*) FROM '{out}'").fetchall() == [(2,)]
+    ws.export_parquet("streams", out)  # replaces
+    assert pq.read_table(out).num_rows == 0 and not [p for p in tmp_path.iterdir() if p.name.startswith(".out")]
+    for table, path, error in (("meta", out, ValueError), ("pkts", ws.path + "/x.parquet", WorkspaceError), ("pkts", ws.path, WorkspaceError)):
+        with pytest.raises(error):
+            ws.export_parquet(table, path)
+    rows = ws.query().dataframe().collect()
+    ws.compact()
+    assert ws.query().dataframe().collect() == rows and len([n for n in ws.files.names() if n.startswith("pkts-")]) == 1 and len([n for n in ws.files.names() if n.startswith("catalog-")]) == 1
+    assert [str(r.get(six)) for r in ws.query().filter(six > "::")] == ["ffff::1"]
+
+
+def test_names():
+    assert [column_name(x) for x in ("ip.src", "HTTP2.é-x", "6lowpan.a")] == ["ip_src", "http2___x", "f_6lowpan_a"]
+    assert collisions(["a.b", "a-b", "c"]) == {"a_b": ["a-b", "a.b"]}
+
+
+def test_identity(tmp_path):
+    p = tmp_path / "c"
+    p.write_bytes(b"x" * 200_000)
+    a = fingerprint(str(p))
+    assert a == fingerprint(str(p))
+    k = lambda **x: cache_key(str(p), **({"fields": ["b", "a"], "display": None, "version": "v", "argv": ["t"], "print_": a} | x)).key
+    assert k() == k(fields=["a", "b", "a"]) and len({k(), k(display=""), k(version="w"), k(argv=["t", ""]), k(fields=["ab"]), k(print_="z")}) == 6
+    with pytest.raises(TypeError):
+        k(fields="ab")
+    with pytest.raises(UnicodeEncodeError):
+        k(version="\udc80")
+    with open(p, "r+b") as f:
+        f.seek(199_999)
+        f.write(b"y")
+    assert fingerprint(str(p)) != a

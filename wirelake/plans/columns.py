@@ -70,9 +70,9 @@ def _scalar(e: Comparison, x: Column, negated: bool) -> Column:
         return ~x.eqNullSafe(v) if negated else x == v
     if not negated:
         return _order(e.op, x, v, floating)
-    # NaN is above all in Spark, so >= and > already hold where < and <= fail on it.
     c = x.isNull() | {">=": x >= v, ">": x > v, "<=": x <= v, "<": x < v}[_INVERSE[e.op]]
-    return c | F.isnan(x) if floating and e.op in (">", ">=") else c
+    # NaN fails every comparison. isnan also keeps this from the scan: files' statistics may leave NaN out.
+    return c | F.isnan(x) if floating else c
 
 
 def _test(e: Expr, strict: bool) -> Callable[[Column], Column]:

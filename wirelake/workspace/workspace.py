@@ -363,6 +363,7 @@ class Workspace:
                 out.rename(passing, name)
         finally:
             out.delete(passing)
+            out.delete(f".{name}.crc")  # local file systems' checksums
         return path
 
     def compact(self, rows_per_file: int = 5_000_000) -> None:
