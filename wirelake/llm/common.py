@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _aside(df: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """``df`` with the columns that aren't wanted under names that no operator uses."""
+    seen: set[str] = set()
+    names = []
+    for i, c in enumerate(df.columns):
+        names.append(c if c in wanted and c not in seen else f"wl_extra_{i}")
+        seen.add(c)
+    return df.toDF(*names)
+
+
+def only(df: DataFrame, *wanted: str) -> DataFrame:
+    """The wanted columns, whatever others there are, also such as differ in case alone."""
+    return _aside(df, wanted).select(*wanted)
+
+
+def extra_aside(*wanted: str) -> Callable:
+    """For functions from a table to some of its rows: what they name their own columns can't clash with the table's extra ones."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(docs: DataFrame, *args, **params) -> DataFrame:
+            return f(_aside(docs, wanted), *args, **params).toDF(*docs.columns)
+
+        return run
+
+    return wrap
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named in ``spark.checkpoint.dir``.
 

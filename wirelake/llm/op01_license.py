@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut
+from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut, only
 from wirelake.llm.license_texts import TEMPLATES
 from wirelake.llm.wordscan import grams, scan, text_bytes
 
@@ -51,7 +51,7 @@ def license_spans(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     Documents with the same doc_id and different texts are scanned apart; exactly repeated rows give their spans once. Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").filter("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+    docs = only(docs, "doc_id", "text").filter("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     listed = [(i, name, template_words(text)) for i, (name, text) in enumerate(templates)]
     listed = [x for x in listed if len(x[2]) >= gram]
     positions = []

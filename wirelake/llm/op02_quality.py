@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import checked_broadcast, cut
+from wirelake.llm.common import checked_broadcast, cut, extra_aside, only
 from wirelake.llm.wordscan import IS_WORD, scan, text_bytes
 
 #: ALPHA is the share of clean documents that the cut-off rejects if statistics are normal; SUPPORT the share of documents that the
@@ -125,7 +125,7 @@ def statistics(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
             x = text_statistics(batch.column("text"), prior)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text_key", "lang", "source")] + [pa.array(x[:, k], mask=np.isnan(x[:, k])) for k in range(_P)], ["doc_id", "text_key", "lang", "source", *[f"x{k}" for k in range(_P)]])
 
-    cols = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_key"))
+    cols = only(docs, "doc_id", "text", "lang", "source").withColumn("text_key", F.xxhash64("text"))
     return cols.mapInArrow(run, "doc_id long, text_key long, lang string, source string, " + ", ".join(f"x{k} double" for k in range(_P)))
 
 
@@ -229,10 +229,11 @@ def scored(docs: DataFrame, alpha: float = ALPHA, support: float = SUPPORT, step
     return out.select("doc_id", "text_key", "lang", "source", "fit", F.sqrt("d2").alias("distance"), F.coalesce(F.col("d2") > chi2_quantile(alpha, _P), F.lit(False)).alias("rejected"))
 
 
+@extra_aside("doc_id", "text", "lang", "source")
 def kept(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` without what ``scored`` rejects; rows with null doc_id or text stay."""
+    """``docs`` without what ``scored`` rejects; rows with null text stay, a null doc_id is as good as any."""
     bad = cut(scored(docs, **params).filter("rejected").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct())
-    same = (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")) & docs["lang"].eqNullSafe(F.col("__lang")) & docs["source"].eqNullSafe(F.col("__source"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")) & docs["lang"].eqNullSafe(F.col("__lang")) & docs["source"].eqNullSafe(F.col("__source"))
     return docs.join(checked_broadcast(bad), same, "left_anti")
 
 

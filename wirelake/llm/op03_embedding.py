@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import cut
+from wirelake.llm.common import cut, only
 from wirelake.llm.grouping import bucket_groups
 from wirelake.llm.wordscan import mix
 
@@ -160,7 +160,7 @@ def duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
     length aren't compared. Repeated rows are copies (a repeated vec_id that stays isn't listed). An empty table gives an empty result. Other
     columns are ignored.
     """
-    units = cut(_units(vectors.select("vec_id", "embedding")))
+    units = cut(_units(only(vectors, "vec_id", "embedding")))
     nodes = cut(units.filter("unit IS NOT NULL").groupBy("node").agg(F.first("dim").alias("dim"), F.first("unit").alias("unit")))
     members = _members(nodes, tables, blocks, probes, cell)
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import checked_broadcast, cut
+from wirelake.llm.common import checked_broadcast, cut, only
 
 #: CAPACITY is in tokens, by ``token_length``; ROWS_A_TASK the documents and gaps that one task of a sweep sorts.
 CAPACITY, ROWS_A_TASK = 2048, 200_000
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     Repeated rows are packed each on its own. Ties of size are ranked by row. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", (token_length() if length is None else length).alias("n"))
+    sized = (only(docs, "doc_id", "text") if length is None else docs).select("doc_id", (token_length() if length is None else length).alias("n"))
     parts = F.when(F.col("n") > capacity, F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1), lambda i: i)).otherwise(F.array(F.lit(0)))
     items = cut(
         sized.select("doc_id", "n", F.explode(parts).alias("part"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelake.llm.common import extra_aside, only
+
 _B62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -156,7 +158,7 @@ def findings(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "rule", "start", "end", "checksum", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, rule string, start int, end int, checksum string, digest string")
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, rule string, start int, end int, checksum string, digest string")
 
 
 def redact(text: str, finder: Finder) -> str:
@@ -168,8 +170,9 @@ def redact(text: str, finder: Finder) -> str:
     return text if not out else b"".join([*out, data[free:]]).decode("utf-8", "surrogatepass")
 
 
-def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with each secret of ``text`` replaced by its rule's name in angle brackets and ``length`` set to the new length where the text changed.
+@extra_aside("text", "n_chars")
+def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``docs`` with each secret of its texts replaced by its rule's name in angle brackets and ``n_chars``, if there is such a column, set to the new length where the text changed.
 
     All rows and columns stay; null texts stay null.
     """
@@ -180,12 +183,12 @@ def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
             yield s.map(lambda t: None if t is None else redact(t, finder))
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    clean = F.pandas_udf(run, "string")
-    out = docs.withColumn("__clean", clean(F.col(text)))
-    if length in docs.columns:
+    out = docs.withColumn("__clean", F.pandas_udf(run, "string")("text"))
+    if "n_chars" in docs.columns:
         # texts that didn't change keep the length that the table states
-        out = out.withColumn(length, F.when(F.col("__clean") == F.col(text), F.col(length)).when(F.col("__clean").isNull(), F.col(length)).otherwise(F.char_length("__clean").cast(docs.schema[length].dataType)))
-    return out.withColumn(text, F.col("__clean")).select(*[f"`{c}`" for c in docs.columns])
+        n = F.char_length("__clean").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__clean").isNull() | (F.col("__clean") == F.col("text")), F.col("n_chars")).otherwise(n))
+    return out.withColumn("text", F.col("__clean")).select(*docs.columns)
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

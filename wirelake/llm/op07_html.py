@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import checked_broadcast, cut, scratch_table
+from wirelake.llm.common import checked_broadcast, cut, only, scratch_table
 
 #: Groups of structures that are merged into one wrapper by a task before the host's wrappers are merged.
 SALTS = 16
@@ -368,7 +368,7 @@ def extracted(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     of their own, so texts they alone have count as the same on all pages. An empty table gives an empty result. Pages of any length are
     parsed whole; unclosed tags, comments and scripts end with the page. Other columns are ignored.
     """
-    parsed = scratch_table(pages.select("page_id", "url", "html").mapInArrow(_parse, "page_id long, host string, symbols array<string>, texts array<string>, shape string"), "html-streams")
+    parsed = scratch_table(only(pages, "page_id", "url", "html").mapInArrow(_parse, "page_id long, host string, symbols array<string>, texts array<string>, shape string"), "html-streams")
     made = cut(wrappers(parsed, salts))
     slotted = parsed.drop("shape").join(checked_broadcast(made, 100_000), "host").mapInArrow(_assign, "page_id long, host string, fits boolean, slots array<int>, places array<string>, texts array<string>")
     each = slotted.filter("fits").select("host", "page_id", F.explode(F.arrays_zip("slots", "texts")).alias("s"))

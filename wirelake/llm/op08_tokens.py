@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import checked_broadcast, cut, delete_at_exit, scratch_path
+from wirelake.llm.common import checked_broadcast, cut, delete_at_exit, only, scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's text is cut into pieces: contractions, words, numbers, signs, white space.
@@ -59,7 +59,7 @@ def counted(docs: DataFrame, cache: str, vocabulary: str = VOCABULARY, pattern:
     """
     spark = docs.sparkSession
     version = vocabulary_version(vocabulary, pattern)
-    keyed = docs.select("doc_id", normalised(F.col("text")).alias("normal")).withColumn("digest", F.unhex(F.md5("normal")))
+    keyed = only(docs, "doc_id", "text").select("doc_id", normalised(F.col("text")).alias("normal")).withColumn("digest", F.unhex(F.md5("normal")))
     ids = cut(keyed.select("doc_id", "digest"))
     known = _cache(spark, cache, version)
     misses = ids.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from wirelake.llm.common import delete_at_exit, scratch_path
+from wirelake.llm.common import delete_at_exit, only, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 SCHEMA = "path string, offset long, type string, record_id string, uri string, date string, content_type string, headers map<string,string>, payload binary"
@@ -217,7 +217,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         g.move(name, end)
         yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
 
-    pages.select("page_id", "url", "html").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    only(pages, "page_id", "url", "html").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def pages_of(records: DataFrame) -> DataFrame:

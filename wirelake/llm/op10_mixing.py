@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import checked_broadcast, cut
+from wirelake.llm.common import checked_broadcast, cut, extra_aside, only
 
 SEED, TEMPERATURE, BUCKETS = 17, 0.5, 64
 _WIDE = 16**12
@@ -21,7 +21,7 @@ def sampled(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     """``docs`` with the columns ``__certain`` (copies for certain) and ``__drawn`` (1 if drawn for one more); rows with neither stay in.
 
     Each source gets a fixed number of copies: ``total`` (the number of documents unless given) times its target weight, rounded. Target
-    weights are ``weights`` by source (others get 0), or the source's number of documents to the power ``temperature``. A document's
+    weights are ``weights`` by source (others get 0; nothing is sampled if no weight is left), or the source's number of documents to the power ``temperature``. A document's
     expected copies are its source's number times its size over the source's size, where a document's size is 1 + floor(sqrt(n_chars)).
     Its whole expected copies are allocated for certain; the fractions p are sampled by Pareto order sampling: documents are ranked by
     U / (1 - U) / (p / (1 - p)) with uniform U, and the source's first ones are drawn, as many as the fractions come to.
@@ -38,7 +38,7 @@ def sampled(docs: DataFrame, weights: dict[str, float] | None = None, total: int
         per = per.withColumn("w", F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k in weights.items() for v in (k[0], float(k[1]))]), F.col("__s")), F.lit(0.0)))
     sums = per.agg(F.sum("w").alias("w_sum"), F.sum("n").alias("n_sum"))
     goal = F.lit(total) if total is not None else F.col("n_sum")
-    per = cut(per.crossJoin(F.broadcast(sums)).select("__s", "x_sum", F.floor(goal * F.col("w") / F.col("w_sum") + 0.5).cast("long").alias("goal")))
+    per = cut(per.crossJoin(F.broadcast(sums)).select("__s", "x_sum", F.floor(F.coalesce(F.try_divide(goal * F.col("w"), F.col("w_sum")), F.lit(0.0)) + 0.5).cast("long").alias("goal")))
     expected = F.col("goal").cast("double") * F.col("__x").cast("double") / F.col("x_sum").cast("double")
     u = _unit(seed)
     rows = (
@@ -75,6 +75,7 @@ def _draws(rows: DataFrame, names: list[str]) -> DataFrame:
     return below.select(*kept).unionByName(at.select(*kept)).filter("__copies > 0")
 
 
+@extra_aside("doc_id", "source", "n_chars")
 def mix(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with each document as often as it is sampled; see ``sampled`` for the method, its parameters and its edge cases."""
     rows, names = sampled(docs, **params)
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, **params) -> DataFrame:
 
 def copies(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, source, copies) of the sampled documents."""
-    rows, names = sampled(docs.select("doc_id", "source", "n_chars"), **params)
+    rows, names = sampled(only(docs, "doc_id", "source", "n_chars"), **params)
     return _draws(rows, names).select("doc_id", "source", F.col("__copies").alias("copies"))
 
 
