@@ -36,11 +36,11 @@ def test_texts_of_templates(spark):
         assert "rights" not in got[i]["text"] and "News" not in got[i]["text"] and "Contact" not in got[i]["text"]
 
 
-def test_the_order_of_pages_and_salts_do_not_matter(spark):
+def test_the_order_of_pages_and_parts_do_not_matter(spark):
     df, want = corpus(spark, 24)
     rows = sorted(map(tuple, h.extracted(df).collect()))
     assert sorted(map(tuple, h.extracted(df.orderBy("page_id", ascending=False).repartition(3)).collect())) == rows
-    assert [r[4] for r in sorted(map(tuple, h.extracted(df, salts=1).collect()))] == ["\n".join(want[i][1]) for i in range(24)]
+    assert [r[4] for r in sorted(map(tuple, h.extracted(df, fan=3).collect()))] == ["\n".join(want[i][1]) for i in range(24)]
 
 
 def shape(html):

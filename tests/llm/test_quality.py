@@ -89,5 +89,6 @@ def test_odd_documents(spark):
     kept = q.kept(mixed, min_docs=50)
     bad = q.scored(mixed, min_docs=50).filter("rejected")
     assert kept.count() == mixed.count() - bad.count() and bad.filter("doc_id IS NULL").count() == 1
+    assert rows_of(q.kept(mixed, max_broadcast=0, min_docs=50)) == rows_of(kept)  # the way that large tables take
     same = spark.createDataFrame([(i, "the same text again", "en", "s", 1) for i in range(150)], SCHEMA)
     assert q.scored(same).filter("rejected").count() == 0  # no spread at all

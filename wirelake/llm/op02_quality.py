@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import checked_broadcast, cut, extra_aside, only
+from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut, extra_aside, only
 from wirelake.llm.wordscan import IS_WORD, scan, text_bytes
 
 #: ALPHA is the share of clean documents that the cut-off rejects if statistics are normal; SUPPORT the share of documents that the
@@ -200,18 +200,9 @@ def mcd(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, floor: fl
     return cut(inside.groupBy("fit", "start").agg(*_sums()).mapInPandas(_solve(consistency(0.975, _P), floor), _PARAMS))
 
 
-def scored(docs: DataFrame, alpha: float = ALPHA, support: float = SUPPORT, steps: int = STEPS, min_docs: int = MIN_DOCS, prior: float = PRIOR, floor: float = FLOOR) -> DataFrame:
-    """(doc_id, text_key, lang, source, fit, distance, rejected) of every document row.
-
-    Each (lang, source) of at least ``min_docs`` documents has its own estimate over all of them; smaller ones use their language's
-    over all of its documents, smaller languages that over all documents. A document is rejected if its distance is beyond the
-    chi-square quantile of tail ``alpha``.
-
-    Nulls: null lang and null source are groups of their own; null, empty and wordless texts have null distance and aren't rejected, as are
-    all documents if fewer than ``min_docs`` have words. A null doc_id is kept. Repeated rows and ties count as often as they occur and are
-    decided alike. An empty table gives an empty result. Statistics of very long texts are of the whole text.
-    """
-    x = cut(statistics(docs, prior).withColumn("g", F.to_json(F.struct(F.coalesce("lang", F.lit("\0")).alias("l"), F.coalesce("source", F.lit("\0")).alias("s")))))
+def _judged(docs: DataFrame, alpha: float = ALPHA, support: float = SUPPORT, steps: int = STEPS, min_docs: int = MIN_DOCS, prior: float = PRIOR, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
+    """What ``scored`` returns, and each group's estimate: (g, fit, mean, inv, ...), a row for each language and source."""
+    x = cut(statistics(docs, prior).withColumn("g", _group()))
     by_lang, by_all = Window.partitionBy("l"), Window.partitionBy(F.lit(1))
     groups = (
         x.filter("x0 IS NOT NULL").groupBy("g", F.coalesce("lang", F.lit("\0")).alias("l")).agg(F.count(F.lit(1)).alias("n"))
@@ -225,16 +216,59 @@ def scored(docs: DataFrame, alpha: float = ALPHA, support: float = SUPPORT, step
     xs = [f"x{k}" for k in range(_P)]
     rows = cut(x.filter("x0 IS NOT NULL").join(groups, "g").select(F.explode("fits").alias("fit"), *xs))
     params = checked_broadcast(mcd(rows, support, steps, floor))
+    estimates = groups.drop("fits").join(params, "fit", "left")
     out = x.join(groups.drop("fits"), "g", "left").join(params, "fit", "left").withColumn("d2", _d2())
-    return out.select("doc_id", "text_key", "lang", "source", "fit", F.sqrt("d2").alias("distance"), F.coalesce(F.col("d2") > chi2_quantile(alpha, _P), F.lit(False)).alias("rejected"))
+    return out.select("doc_id", "text_key", "lang", "source", "fit", F.sqrt("d2").alias("distance"), _far(alpha).alias("rejected")), estimates
+
+
+def _group() -> Column:
+    """A name for language and source; nulls have one of their own."""
+    return F.to_json(F.struct(F.coalesce("lang", F.lit("\0")).alias("l"), F.coalesce("source", F.lit("\0")).alias("s")))
+
+
+def _far(alpha: float) -> Column:
+    return F.coalesce(F.col("d2") > chi2_quantile(alpha, _P), F.lit(False))
+
+
+def scored(docs: DataFrame, **params) -> DataFrame:
+    """(doc_id, text_key, lang, source, fit, distance, rejected) of every document row.
+
+    Each (lang, source) of at least ``min_docs`` documents has its own estimate over all of them; smaller ones use their language's
+    over all of its documents, smaller languages that over all documents. A document is rejected if its distance is beyond the
+    chi-square quantile of tail ``alpha``.
+
+    Nulls: null lang and null source are groups of their own; null, empty and wordless texts have null distance and aren't rejected, as are
+    all documents if fewer than ``min_docs`` have words. A null doc_id is kept. Repeated rows and ties count as often as they occur and are
+    decided alike. An empty table gives an empty result. Statistics of very long texts are of the whole text.
+    """
+    return _judged(docs, **params)[0]
+
+
+def _statistics_of(prior: float):
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        x = text_statistics(pa.array(texts, pa.string()), prior)
+        return pd.Series([None if np.isnan(r[0]) else r for r in x])
+
+    return of
 
 
 @extra_aside("doc_id", "text", "lang", "source")
-def kept(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` without what ``scored`` rejects; rows with null text stay, a null doc_id is as good as any."""
-    bad = cut(scored(docs, **params).filter("rejected").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct())
+def kept(docs: DataFrame, max_broadcast: int = BROADCAST_ROWS, **params) -> DataFrame:
+    """``docs`` without what ``scored`` rejects; rows with null text stay, a null doc_id is as good as any.
+
+    Up to ``max_broadcast`` rejected documents are taken out by their keys. Beyond that the statistics are computed a second time, in the
+    pass that filters: so texts are never shuffled, however many there are.
+    """
+    scores, estimates = _judged(docs, **params)
+    bad = cut(scores.filter("rejected").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct())
+    if bad.limit(max_broadcast + 1).count() > max_broadcast:
+        xs = _statistics_of(params.get("prior", PRIOR))("text")
+        at = docs.withColumn("__g", _group()).withColumn("__xs", xs).join(checked_broadcast(cut(estimates.withColumnRenamed("g", "__g"))), "__g", "left")
+        at = at.withColumns({f"x{k}": F.col("__xs")[k] for k in range(_P)}).withColumn("d2", _d2())
+        return at.filter(~_far(params.get("alpha", ALPHA))).select(*docs.columns)
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")) & docs["lang"].eqNullSafe(F.col("__lang")) & docs["source"].eqNullSafe(F.col("__source"))
-    return docs.join(checked_broadcast(bad), same, "left_anti")
+    return docs.join(F.broadcast(bad), same, "left_anti")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

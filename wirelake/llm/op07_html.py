@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from wirelake.llm.common import checked_broadcast, cut, only, scratch_table
 
-#: Groups of structures that are merged into one wrapper by a task before the host's wrappers are merged.
-SALTS = 16
+#: Structures that one task aligns; the wrappers of so many structures are aligned in their turn, until a host has one.
+FAN = 64
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -344,18 +344,28 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["page_id", "host", "fits", "slots", "places", "texts"])
 
 
-def wrappers(parsed: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(host, wrapper) from (host, shape) of all pages: distinct shapes are merged within ``salts`` parts of a host, then across them."""
-    shapes = parsed.select("host", "shape").distinct()
-    some = shapes.groupBy("host", F.pmod(F.xxhash64("shape"), F.lit(salts)).alias("salt")).applyInPandas(_infer_group, "host string, shape string")
-    return some.groupBy("host").applyInPandas(_infer_group, "host string, shape string").withColumnRenamed("shape", "wrapper")
+def wrappers(parsed: DataFrame, fan: int = FAN) -> DataFrame:
+    """(host, wrapper) from (host, shape) of all pages.
+
+    A host's distinct shapes are parted by their hashes into parts of about ``fan``, each part is merged into one, and so on: a tree of
+    merges, so no task holds all shapes of a large host.
+    """
+    shapes = cut(parsed.select("host", "shape").distinct())
+    while True:
+        sizes = cut(shapes.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return shapes.withColumnRenamed("shape", "wrapper")
+        parts = F.ceil(F.col("n") / F.lit(fan)).cast("long")
+        some = shapes.join(checked_broadcast(sizes, 100_000), "host").withColumn("part", F.pmod(F.xxhash64("shape"), parts))
+        shapes = cut(some.groupBy("host", "part").applyInPandas(_infer_group, "host string, shape string"))
 
 
 def _infer_group(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [f["host"].iloc[0]], "shape": [infer(f["shape"].tolist())]})
 
 
-def extracted(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def extracted(pages: DataFrame, fan: int = FAN) -> DataFrame:
     """(page_id, host, fits, title, text): each page's texts that its host's wrapper has a variable slot for.
 
     A host's pages become streams of tags and texts; tandem repeats become groups that repeat. The distinct streams of a host are aligned one
@@ -369,7 +379,7 @@ def extracted(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     parsed whole; unclosed tags, comments and scripts end with the page. Other columns are ignored.
     """
     parsed = scratch_table(only(pages, "page_id", "url", "html").mapInArrow(_parse, "page_id long, host string, symbols array<string>, texts array<string>, shape string"), "html-streams")
-    made = cut(wrappers(parsed, salts))
+    made = wrappers(parsed, fan)
     slotted = parsed.drop("shape").join(checked_broadcast(made, 100_000), "host").mapInArrow(_assign, "page_id long, host string, fits boolean, slots array<int>, places array<string>, texts array<string>")
     each = slotted.filter("fits").select("host", "page_id", F.explode(F.arrays_zip("slots", "texts")).alias("s"))
     h = F.xxhash64("s.texts")
