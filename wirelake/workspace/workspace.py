@@ -83,6 +83,8 @@ class Workspace:
         self.files = Files(spark, self.path)
         self.attached: dict[str, Workspace] = {}
         self._busy = False
+        self._read: tuple[str, Catalog] | None = None
+        self._frames: dict[tuple[str, str, str], DataFrame] = {}
         if not self.files.exists("CURRENT"):
             if [n for n in self.files.names() if n != "LOCK"]:
                 raise WorkspaceError(f"{self.path} holds other files and is no workspace")
@@ -104,7 +106,11 @@ class Workspace:
 
     @property
     def catalog(self) -> Catalog:
-        return Catalog.load(self.files.read(self.files.read("CURRENT").strip()))
+        """The current version's; a version's text doesn't change, so it is read once."""
+        name = self.files.read("CURRENT").strip()
+        if self._read is None or self._read[0] != name:
+            self._read = name, Catalog.load(self.files.read(name))
+        return self._read[1]
 
     @contextmanager
     def write(self) -> Iterator[_Change]:
@@ -140,7 +146,10 @@ class Workspace:
         schema = {"pkts": _pkts_schema(c), "streams": T._parse_datatype_string(_STREAMS), "annotations": T._parse_datatype_string(notes.SCHEMA)}[name]
         if name not in c.tables:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.files.root}/{c.tables[name]}")
+        at = (name, c.tables[name], schema.json())
+        if at not in self._frames:
+            self._frames[at] = self.spark.read.schema(schema).parquet(f"{self.files.root}/{c.tables[name]}")
+        return self._frames[at]
 
     def query(self, alias: str | None = None, strict_portable: bool = False) -> Query:
         """A query over the packets, of an attached workspace if ``alias`` is given."""
@@ -376,6 +385,7 @@ class Workspace:
                 else:
                     df = df.coalesce(max(1, -(-df.count() // rows_per_file)))
                 change.put(t, df)
+        self._frames.clear()
         c = self.catalog
         keep = {"CURRENT", "LOCK", self.files.read("CURRENT").strip(), *c.tables.values()}
         for n in self.files.names():
