@@ -51,7 +51,7 @@ def test_traversals():
 
 
 @pytest.mark.parametrize("e, text", [
-    (SRC == "10.0.0.1", "ip.src == 10.0.0.1"), (SRC == IPv4Address("10.0.0.1"), "ip.src == 10.0.0.1"), (TTL >= 64, "ip.ttl >= 64"), (TTL != 64, "!(ip.ttl == 64)"), (SYN == True, "tcp.flags.syn == 1"),  # noqa: E712
+    (SRC == "192.0.2.7", "ip.src == 192.0.2.7"), (SRC == IPv4Address("192.0.2.7"), "ip.src == 192.0.2.7"), (TTL >= 64, "ip.ttl >= 64"), (TTL != 64, "!(ip.ttl == 64)"), (SYN == True, "tcp.flags.syn == 1"),  # noqa: E712
     (LOAD < 1, "sys.load < 1.0"), (HOST == 'a"b\\\n\x01', 'http.host == "a\\"b\\\\\\n\\x01"'), (PAYLOAD == b"\x00\xff", "tcp.payload == 00:ff"), (PORT.present(), "tcp.port"),
     (PORT.in_([80, (1, 3), range(5, 8)]), "tcp.port in {80, 1 .. 3, 5 .. 7}"), (HOST.contains("x"), 'http.host contains "x"'), (PAYLOAD.contains(b"ab"), "tcp.payload contains 61:62"), (HOST.matches("^a.b$"), 'http.host matches "^a.b$"'),
     ((TTL == 1) & (TTL == 2) | ~PORT.present(), "((ip.ttl == 1) && (ip.ttl == 2)) || (!(tcp.port))"),

@@ -185,7 +185,7 @@ def test_queries(spark, ws, mixed):
     assert [r[0] for r in ws.sql(text, args).collect()] == numbers(ws.query().filter(~(PORT == 443), SRC.present())) == [3, 4]
 
 
-ROLLUP = [(1, 54, "10.0.0.1", "10.0.0.2", (0, 51234, 443), None), (2, 60, "10.0.0.3", "10.0.0.4", (1, 52000, 8080), None), (3, 66, "10.0.0.2", "10.0.0.1", (0, 443, 51234), None), (4, 73, "10.0.0.1", "10.0.0.9", None, (0, 53534, 53)), (5, 90, "10.0.0.9", "10.0.0.1", None, (0, 53, 53534)), (6, 42, None, None, None, None)]
+ROLLUP = [(1, 54, "10.7.1.5", "10.7.2.5", (0, 51234, 443), None), (2, 60, "10.7.3.5", "10.7.4.5", (1, 52000, 8080), None), (3, 66, "10.7.2.5", "10.7.1.5", (0, 443, 51234), None), (4, 73, "10.7.1.5", "10.7.9.5", None, (0, 53534, 53)), (5, 90, "10.7.9.5", "10.7.1.5", None, (0, 53, 53534)), (6, 42, None, None, None, None)]
 
 
 def test_streams_of_rows(spark):
@@ -196,7 +196,7 @@ def test_streams_of_rows(spark):
     names = ["frame.len", "ip.src", "ip.dst", "tcp.stream", "tcp.srcport", "tcp.dstport", "udp.stream", "udp.srcport", "udp.dstport"]
     df = spark.createDataFrame(rows, "frame_number long, frame_time timestamp_ntz, " + ", ".join(f"c{i} long" for i in range(9)))
     got = [tuple(r) for r in streams(df, {n: F.col(f"c{i}") for i, n in enumerate(names)}).orderBy("protocol", "stream_id").select("protocol", "stream_id", "src_addr", "src_port", "dst_addr", "dst_port", "first_frame", "last_frame", "pkt_count", "byte_count").collect()]
-    assert got == [("tcp", 0, ip("10.0.0.1"), 51234, ip("10.0.0.2"), 443, 1, 3, 2, 120), ("tcp", 1, ip("10.0.0.3"), 52000, ip("10.0.0.4"), 8080, 2, 2, 1, 60), ("udp", 0, ip("10.0.0.1"), 53534, ip("10.0.0.9"), 53, 4, 5, 2, 163)]
+    assert got == [("tcp", 0, ip("10.7.1.5"), 51234, ip("10.7.2.5"), 443, 1, 3, 2, 120), ("tcp", 1, ip("10.7.3.5"), 52000, ip("10.7.4.5"), 8080, 2, 2, 1, 60), ("udp", 0, ip("10.7.1.5"), 53534, ip("10.7.9.5"), 53, 4, 5, 2, 163)]
 
 
 def test_streams_of_a_workspace(spark, ws, mixed):

@@ -1,6 +1,6 @@
 """Filter expressions over fields: immutable trees built with operators on ``FieldRef``.
 
-``(IP.src == "10.0.0.1") & ~TCP.port.in_([(1, 1023)])``. Truth is two-valued: a positive test of a field that is absent is false, its negation true;
+``(IP.src == "192.0.2.7") & ~TCP.port.in_([(1, 1023)])``. Truth is two-valued: a positive test of a field that is absent is false, its negation true;
 on a field that occurs several times a test asks whether any occurrence passes.
 """
 
@@ -14,7 +14,7 @@ from ipaddress import IPv4Address, IPv6Address
 from wirelake import regexes
 
 LITERALS = (bool, int, float, str, bytes, IPv4Address, IPv6Address, datetime, timedelta)
-OPERATORS = ("==", "<", "<=", ">", ">=")
+OPERATORS = tuple("== < > <= >=".split())
 
 
 def _plain(value: object, where: str) -> object:
@@ -23,6 +23,11 @@ def _plain(value: object, where: str) -> object:
     raise TypeError(f"{where}: {type(value).__name__} isn't one of {', '.join(t.__name__ for t in LITERALS)}")
 
 
+def _kind(value: object, kinds: type | tuple, what: str) -> None:
+    if not isinstance(value, kinds):
+        raise TypeError(f"{what}, not {type(value).__name__}")
+
+
 class Expr:
     __slots__ = ()
 
@@ -103,9 +108,8 @@ class Contains(Expr):
     needle: str | bytes
 
     def __post_init__(self):
-        if not isinstance(self.needle, str | bytes):
-            raise TypeError(f"contains takes text or bytes, not {type(self.needle).__name__}")
-        if not self.needle:
+        _kind(self.needle, (str, bytes), "contains takes text or bytes")
+        if len(self.needle) == 0:
             raise ValueError("everything contains the empty needle")
 
 
@@ -115,8 +119,7 @@ class Matches(Expr):
     pattern: str
 
     def __post_init__(self):
-        if not isinstance(self.pattern, str):
-            raise TypeError(f"a pattern is text, not {type(self.pattern).__name__}")
+        _kind(self.pattern, str, "a pattern is text")
         regexes.validate(self.pattern)
 
 
@@ -185,7 +188,7 @@ class FieldRef:
 
     def in_(self, values: Iterable) -> Membership:
         """Members are values, (low, high) pairs, ranges of step 1 or ``ValueRange``."""
-        if isinstance(values, str | bytes):
+        if type(values) in (str, bytes):
             raise TypeError("in_ takes a collection; for parts of text there is contains")
         return Membership(self, tuple(map(_member, values)))
 

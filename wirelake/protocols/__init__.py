@@ -1,4 +1,4 @@
-"""Protocols' fields by attribute: ``from wirelake.protocols import IP, TCP``; ``IP.src == "10.0.0.1"``, ``TCP.port.in_([80])``.
+"""Protocols' fields by attribute: ``from wirelake.protocols import IP, TCP``; ``IP.src == "192.0.2.7"``, ``TCP.port.in_([80])``.
 
 The catalog is data, one text for each protocol, that is read when the protocol is first used. ``python -m wirelake.protocols write``
 makes it from a dissector's dump of its fields.

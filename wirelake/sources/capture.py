@@ -110,7 +110,7 @@ class Dumped:
 
 @dataclass(frozen=True)
 class Capture:
-    """``Capture(spark, path).filter(IP.src == "10.0.0.1").select(TCP.port)``; terms are expressions or predicates of a raw packet (dict)."""
+    """``Capture(spark, path).filter(IP.ttl < 5).select(TCP.port)``; terms are expressions or predicates of a raw packet (dict)."""
 
     spark: SparkSession
     path: str

@@ -72,8 +72,8 @@ def fingerprint(path: str) -> str:
 
 def cache_key(capture: str, fields: Sequence[str], display: str | None, version: str, argv: Sequence[str], print_: str | None = None, at: str | None = None) -> CacheKey:
     """The identity of a materialization. No two component lists have one digest: it is taken of their JSON, where None isn't ""."""
-    if isinstance(fields, str) or isinstance(argv, str):
-        raise TypeError("fields and argv are lists of text, not text")
+    if any(isinstance(x, str) for x in (argv, fields)):
+        raise TypeError("lists of text are wanted, not text")
     names = tuple(sorted(set(fields)))
     print_ = print_ or fingerprint(capture)
     for t in (capture, *names, version, *argv, display or ""):

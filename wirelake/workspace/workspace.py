@@ -35,7 +35,7 @@ _NUMBER = FieldRef("frame.number", "FT_FRAMENUM")
 _TIME = FieldRef("frame.time_epoch", "FT_ABSOLUTE_TIME")
 _KEY = (("frame_number", "bigint"), ("frame_time", "timestamp_ntz"))
 _STREAMS = "protocol string, stream_id long, src_addr long, src_port int, dst_addr long, dst_port int, first_frame long, last_frame long, pkt_count long, byte_count long, first_time timestamp_ntz, last_time timestamp_ntz"
-_ALIAS = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_ALIAS = re.compile(r"(?!\d)\w+", re.ASCII)
 _RESERVED = ("main", "temp", "system")
 
 
