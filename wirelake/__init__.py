@@ -18,6 +18,7 @@ def ship(spark) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
+    # Spark sends this file from the driver to the executors; they read nothing of the driver's folders.
     at = os.path.join(tempfile.mkdtemp(prefix="wirelake-ship-"), "wirelake_ship.zip")
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted(root.rglob("*")):

@@ -33,13 +33,15 @@ def streams(pkts: DataFrame, values: Mapping[str, Column], key: str = "frame_num
 
 
 def rolled(each: DataFrame, by: list[str], firsts: tuple[str, ...], key: str, time: str, size: str) -> DataFrame:
-    """Groups of packets: ``firsts`` are those of the packet of least ``key``, even if null."""
-    out = each.groupBy(*by).agg(
-        F.min_by(F.struct(*firsts), key).alias("f"),
+    """Groups of packets: ``firsts`` are those of the packet of least ``key``, even if null.
+
+    Each is an aggregate of its own: of numbers, these run as hash aggregation, where one of a struct would sort.
+    """
+    return each.groupBy(*by).agg(
+        *[F.min_by(c, key).alias(c) for c in firsts],
         F.min(key).alias("first_frame"), F.max(key).alias("last_frame"), F.count(F.lit(1)).alias("pkt_count"), F.sum(size).alias("byte_count"),
         F.min(time).alias("first_time"), F.max(time).alias("last_time"),
     )
-    return out.select(*by, *[F.col(f"f.{c}").alias(c) for c in firsts], "first_frame", "last_frame", "pkt_count", "byte_count", "first_time", "last_time")
 
 
 def duration(first: Column, last: Column) -> Column:

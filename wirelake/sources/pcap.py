@@ -167,8 +167,13 @@ class _File(InputPartition):
         self.path = path
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a path or URI names, and the path on it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 def _files(path: str) -> tuple[pafs.FileSystem, list[str]]:
-    f, at = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    f, at = filesystem(path)
     info = f.get_file_info(at)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
+from pyarrow import fs as pafs
+
 from wirelake.binding import column_name
 from wirelake.errors import SchemaVersionError
 from wirelake.expr import FieldRef
 from wirelake.ftypes import column_type
+from wirelake.sources.pcap import filesystem
 
 LAYOUT = 2
 KEY_FIELDS = ("frame.number", "frame.time", "frame.time_epoch")
@@ -55,19 +57,26 @@ def now() -> str:
 
 def fingerprint(path: str) -> str:
     """Size, time of change and a digest of both ends of a capture (a folder: of its files). A change in the middle that keeps both isn't seen."""
-    if os.path.isdir(path):
-        parts = [f"{n}={fingerprint(os.path.join(path, n))}" for n in sorted(os.listdir(path)) if not n.startswith(("_", "."))]
-        return "dir1:" + hashlib.sha256("\0".join(parts).encode("utf-8", "surrogateescape")).hexdigest()
-    with open(path, "rb") as f:
-        stat = os.fstat(f.fileno())
-        ends = [f.read(min(_PROBE, stat.st_size)), b""]
-        if stat.st_size > _PROBE:
-            f.seek(-_PROBE, os.SEEK_END)
-            ends[1] = f.read()
+    at, local = filesystem(path)
+    info = at.get_file_info(local)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == pafs.FileType.File:
+        return _probe(at, info)
+    parts = [f"{i.base_name}={_probe(at, i)}" for i in sorted(at.get_file_info(pafs.FileSelector(local)), key=lambda i: i.base_name) if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
+    return "dir1:" + hashlib.sha256("\0".join(parts).encode("utf-8", "surrogateescape")).hexdigest()
+
+
+def _probe(at: pafs.FileSystem, info: pafs.FileInfo) -> str:
+    with at.open_input_file(info.path) as f:
+        ends = [f.read(min(_PROBE, info.size)), b""]
+        if info.size > _PROBE:
+            f.seek(info.size - _PROBE)
+            ends[1] = f.read(_PROBE)
     h = hashlib.sha256()
     for e in ends:
         h.update(b"%d:" % len(e) + e)
-    return f"file1:{stat.st_size}:{stat.st_mtime_ns}:{h.hexdigest()}"
+    return f"file1:{info.size}:{info.mtime_ns}:{h.hexdigest()}"
 
 
 def cache_key(capture: str, fields: Sequence[str], display: str | None, version: str, argv: Sequence[str], print_: str | None = None, at: str | None = None) -> CacheKey:
