@@ -13,7 +13,7 @@ from wirelake.errors import DissectorError, DissectorNotFoundError
 from wirelake.expr import FieldRef
 from wirelake.ftypes import decode
 from wirelake.sources import ek_json, process
-from wirelake.sources.capture import Capture, Dumped, Program, with_values
+from wirelake.sources.capture import Capture, Dumped, Program, needs, with_values
 from wirelake.sources.fields_text import raw_fields, read_fields_text
 from wirelake.sources.pcap import read_pcap
 
@@ -84,6 +84,10 @@ def test_several_questions(spark, tmp_path):
     for e, want in [(QRY == "beta.example", [1]), (QRY != "beta.example", [2, 3]), (QRY.contains("a.example"), [1, 2]), (QRY.present(), [1, 2]), (QRY.in_(["gamma.example", "x"]), [2]), (QRY > "b", [1, 2]), (FieldRef("dns.qry.type", "FT_UINT16", True) == 28, [1])]:
         assert frames(c.filter(e).raw([NUMBER])) == want, e
     assert [p["dns.qry.name"] for p in c.filter(lambda p: len(p["dns.qry.name"]) > 1).packets(NUMBER, QRY)] == [("alpha.example", "beta.example")]
+    two = needs(UDP)(lambda p: p["udp.port"] == ("50002", "53") and not p.get("tcp.port"))
+    assert frames(c.filter(PORT.present() | UDP.present(), two).raw([NUMBER])) == [2]
+    with pytest.raises(PySparkException, match="wasn't read"):
+        c.filter(lambda p: p["ip.ttl"]).raw([NUMBER]).collect()
     assert c.filter(QRY == "gamma.example", lambda p: p["tcp.port"] == ()).select(NUMBER, PORT, QRY).collect()[0][2] == ["gamma.example"]
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelake.errors import FieldNotProjectedError
 from wirelake.expr import Expr, FieldRef, field_refs
 from wirelake.ftypes import field_type, occurrences
 from wirelake.plans.columns import compile_column
@@ -52,6 +53,26 @@ def _all_occurrences(e: Expr) -> Expr:
     return replace(e, **changed)
 
 
+class RawPacket(dict):
+    """Field names to raw occurrences; asking for a field that wasn't read is an error, not an absence."""
+
+    def __missing__(self, name: str):
+        raise FieldNotProjectedError(f"{name} wasn't read; a predicate names the fields it looks at with needs(...)")
+
+    def get(self, name: str, default=()):
+        return self[name] or default
+
+
+def needs(*fields: FieldRef) -> Callable[[Callable], Callable]:
+    """Marks a predicate with the fields that it looks at: ``@needs(TCP.port)``."""
+
+    def mark(predicate: Callable) -> Callable:
+        predicate.reads = fields
+        return predicate
+
+    return mark
+
+
 @dataclass(frozen=True)
 class BuiltIn:
     """The dissector in Python of ``sources.pcap``; what would be pushed to a program is filtered in Spark."""
@@ -124,9 +145,10 @@ class Capture:
         return make_plan(self.terms, select)
 
     def raw(self, select: Sequence[FieldRef]) -> DataFrame:
-        """Raw columns of ``select`` after all terms; predicates see these fields and those that the expressions name."""
+        """Raw columns of ``select`` after all terms; predicates see these fields, those that the expressions name and those of ``needs``."""
         plan = self.plan(select)
-        refs = list({r.name: r for r in [*select, *(f for e in plan.residual for f in field_refs(e)), *(f for t in self.terms if isinstance(t, Expr) and plan.opaque for f in field_refs(t))]}.values())
+        seen = [f for t in self.terms for f in (field_refs(t) if isinstance(t, Expr) else getattr(t, "reads", ()))] if plan.opaque else []
+        refs = list({r.name: r for r in [*select, *(f for e in plan.residual for f in field_refs(e)), *seen]}.values())
         df = filter_raw(self.dissector.scan(self.spark, self.path, plan.display, plan.pushed, refs), plan.residual)
         if plan.opaque:
             names, tests = [r.name for r in refs], plan.opaque
@@ -134,7 +156,7 @@ class Capture:
             @F.pandas_udf("boolean")
             def passes(packets: pd.DataFrame) -> pd.Series:
                 rows = zip(*(packets[n] for n in names))
-                return pd.Series([all(t(dict(zip(names, map(tuple, r)))) for t in tests) for r in rows], dtype=bool)
+                return pd.Series([all(t(RawPacket(zip(names, map(tuple, r)))) for t in tests) for r in rows], dtype=bool)
 
             df = df.filter(passes(F.struct(*[f"`{n}`" for n in names])))
         return df.select(*[f"`{r.name}`" for r in select])
@@ -143,10 +165,10 @@ class Capture:
         """Typed columns, named by the field."""
         return with_values(self.raw(fields), fields)
 
-    def packets(self, *fields: FieldRef) -> Iterator[dict]:
+    def packets(self, *fields: FieldRef) -> Iterator[RawPacket]:
         """Raw packets of these fields."""
         for row in self.raw(fields).toLocalIterator():
-            yield {r.name: tuple(row[r.name]) for r in fields}
+            yield RawPacket({r.name: tuple(row[r.name]) for r in fields})
 
 
 def first(raw: Sequence[str], ref: FieldRef) -> object:
