@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: glibc's malloc_trim, None with other C libraries.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,6 +113,13 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: allocators keep it otherwise, in each of an executor's workers."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def chunks_of_rows(offsets, most: int):
     """Ranges [i, j) of rows whose bytes come to ``most`` at the utmost; a longer row stands alone."""
     i, n = 0, len(offsets) - 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut, only
+from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut, give_back, only
 from wirelake.llm.license_texts import TEMPLATES
 from wirelake.llm.wordscan import grams, scan, text_bytes
 
@@ -34,6 +34,7 @@ def _gram_rows(docs: DataFrame, k: int) -> DataFrame:
                 row = np.repeat(np.arange(j - i), np.diff(before))[at] if len(at) else np.zeros(0, int)
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array((at - before[row]).astype(np.int32)), pa.array(g[at].view(np.int64))], ["doc_id", "text_key", "pos", "gram"])
+            give_back()
 
     return docs.mapInArrow(run, "doc_id long, text_key long, pos int, gram long")
 

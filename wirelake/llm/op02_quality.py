@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut, extra_aside, only
+from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut, extra_aside, give_back, only
 from wirelake.llm.wordscan import IS_WORD, scan, text_bytes
 
 #: ALPHA is the share of clean documents that the cut-off rejects if statistics are normal; SUPPORT the share of documents that the
@@ -123,6 +123,7 @@ def statistics(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = text_statistics(batch.column("text"), prior)
+            give_back()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text_key", "lang", "source")] + [pa.array(x[:, k], mask=np.isnan(x[:, k])) for k in range(_P)], ["doc_id", "text_key", "lang", "source", *[f"x{k}" for k in range(_P)]])
 
     cols = only(docs, "doc_id", "text", "lang", "source").withColumn("text_key", F.xxhash64("text"))

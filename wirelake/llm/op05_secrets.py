@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import extra_aside, only
+from wirelake.llm.common import extra_aside, give_back, only
 
 _B62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -181,6 +181,7 @@ def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         finder = Finder(rules)
         for s in texts:
             yield s.map(lambda t: None if t is None else redact(t, finder))
+            give_back()
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     out = docs.withColumn("__clean", F.pandas_udf(run, "string")("text"))

@@ -30,10 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all rows and the rows' offsets; null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """Bytes of all rows and the rows' offsets, not copied where no row is null; null counts as empty."""
+    if column.null_count:
+        column = column.fill_null("")
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if offsets is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
