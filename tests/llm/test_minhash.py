@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 from docs import SCHEMA, empty, extra, odd, prose, rows_of
 
 from wirelake.llm import op06_minhash as m
@@ -68,6 +69,17 @@ def test_brute_force(spark):
     assert len(want) >= 50 and pairs(got) <= pairs(want) and len(pairs(got)) >= 0.95 * len(pairs(want))
 
 
+def test_sql(spark):
+    """The exact SQL; these documents are far from the threshold, so nothing is missed."""
+    rows = [*planted(60, 5), (5000, "", "en", "a", 0), (5001, "", "en", "a", 0), (5002, "two words", "en", "a", 9), (5003, "Two, words", "en", "a", 9), (5004, None, "en", "a", 0), (5005, "ÉCOLE du nord", "fr", "a", 9), (5006, "école du nord", "fr", "a", 9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    r = con.execute(m.ORACLE_PAIRS)
+    assert [d[0] for d in r.description] == m.duplicates(df).columns
+    assert sorted(r.fetchall()) == sorted(map(tuple, m.duplicates(df).collect()))
+
+
 def test_posterior_bounds():
     steps = m.fewest_matches(160, 0.5, 0.01, 16)
     assert [k for k, _ in steps] == list(range(16, 161, 16)) and all(0 < f < 0.5 * k for k, f in steps)

@@ -6,7 +6,8 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of an Arrow batch between the JVM and Python: a running task holds some of them outside the heap and in its worker.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: glibc's malloc_trim, None with other C libraries.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -80,10 +84,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed inside gets Arrow batches of at most ``BATCH_BYTES``; the session's setting comes back afterwards."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, keep in the shared folder, forget the lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -109,7 +125,8 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Compute once and keep as Parquet in the shared folder, for tables too large for a checkpoint's uncompressed rows."""
     spark = df.sparkSession
     path = delete_at_exit(spark, scratch_path(spark, name))
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

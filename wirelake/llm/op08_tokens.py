@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import checked_broadcast, cut, delete_at_exit, only, scratch_path
+from wirelake.llm.common import checked_broadcast, cut, delete_at_exit, only, scratch_path, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's text is cut into pieces: contractions, words, numbers, signs, white space.
@@ -69,7 +69,8 @@ def counted(docs: DataFrame, cache: str, vocabulary: str = VOCABULARY, pattern:
     short = cut(misses.select(_short().alias("__key"), F.col("id").alias("__id")))
     chosen = keyed.filter("digest IS NOT NULL").join(checked_broadcast(short), (_short() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     new = chosen.select("digest", "normal").mapInArrow(_count(vocabulary, pattern), "digest binary, tokens long")
-    new.dropDuplicates(["digest"]).select("digest", F.lit(version).alias("version"), "tokens").write.mode("append").parquet(cache)
+    with small_batches(spark):
+        new.dropDuplicates(["digest"]).select("digest", F.lit(version).alias("version"), "tokens").write.mode("append").parquet(cache)
     return ids.join(_cache(spark, cache, version), "digest", "left").select("doc_id", "tokens")
 
 
