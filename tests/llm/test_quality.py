@@ -92,3 +92,15 @@ def test_odd_documents(spark):
     assert rows_of(q.kept(mixed, max_broadcast=0, min_docs=50)) == rows_of(kept)  # the way that large tables take
     same = spark.createDataFrame([(i, "the same text again", "en", "s", 1) for i in range(150)], SCHEMA)
     assert q.scored(same).filter("rejected").count() == 0  # no spread at all
+
+
+def test_much_junk_of_one_kind(spark):
+    r = random.Random(11)
+    spoil = {"symbols": lambda w: w + r.choice(["###", "$$$", "%%%"]), "capitals": lambda w: w.upper() + "!!", "pipes": lambda w: f"| {w} |"}
+    rows = []
+    for source, f in spoil.items():
+        for i in range(400):
+            words = prose(r, r.randint(40, 400)).split()
+            rows.append((len(rows), " ".join(map(f, words) if i % 20 < 9 else words), "en", source, i % 20))
+    rejected = {x["doc_id"] for x in q.scored(spark.createDataFrame(rows, SCHEMA)).filter("rejected").collect()}
+    assert rejected == {x[0] for x in rows if x[4] < 9}

@@ -15,8 +15,8 @@ from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut, extra_as
 from wirelake.llm.wordscan import IS_WORD, scan, text_bytes
 
 #: ALPHA is the share of clean documents that the cut-off rejects if statistics are normal; SUPPORT the share of documents that the
-#: estimate rests on; PRIOR the words of pseudo-evidence that pull short documents to the middle; FLOOR the least standard deviation.
-ALPHA, SUPPORT, STEPS, MIN_DOCS, PRIOR, FLOOR = 1e-6, 0.7, 5, 100, 30.0, 0.06
+#: estimate rests on, half for the greatest breakdown point; PRIOR the words of pseudo-evidence that pull short documents to the middle; FLOOR the least standard deviation.
+ALPHA, SUPPORT, STEPS, MIN_DOCS, PRIOR, FLOOR = 1e-6, 0.5, 5, 100, 30.0, 0.06
 STATS = ("upper", "symbols", "word_length", "repeats", "stops", "variety")
 _P = len(STATS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
