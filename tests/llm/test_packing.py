@@ -84,3 +84,16 @@ def test_odd_documents(spark):
     size = ties.select(p.token_length()).first()[0]
     check(p.pack(ties, 3 * size).collect(), {i: size for i in range(60)}, 3 * size)
     assert len({r["bin"] for r in p.pack(ties, 3 * size).collect()}) == 20
+
+
+def test_the_query_packs_tokens(spark, tmp_path):
+    from wirelake.llm.op08_tokens import VOCABULARY, encoder
+
+    texts = ["Unquestionably idiosyncratic wordings, notwithstanding!\r\n\r\nx = {'a': 1}  \n", "日本語の文章は空白がない" * 200, "two words", "", " \n", None]
+    spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    enc = encoder(VOCABULARY)
+    sizes = {i: len(enc.encode_ordinary((t or "").replace("\r\n", "\n").rstrip())) for i, t in enumerate(texts)}
+    assert sizes[1] > p.CAPACITY and sizes[3] == 0
+    rows = p.op4_best_fit_packing(spark, str(tmp_path)).collect()
+    check(rows, sizes, p.CAPACITY)
+    assert {r["doc_id"] for r in rows} == set(sizes)

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelake.llm.common import checked_broadcast, cut, only
+from wirelake.llm.op08_tokens import token_count
 
-#: CAPACITY is in tokens, by ``token_length``; ROWS_A_TASK the documents and gaps that one task of a sweep sorts.
+#: CAPACITY is in what ``length`` of ``pack`` counts; ROWS_A_TASK the documents and gaps that one task of a sweep sorts.
 CAPACITY, ROWS_A_TASK = 2048, 200_000
 
 
 def token_length(text: str = "text") -> Column:
-    """Words, and signs that are neither word nor space, counted in the JVM; a tokenizer's counts may be used in its place."""
+    """Words, and signs that are neither word nor space, counted in the JVM: not a tokenizer's tokens, of which texts have about twice as many, and scripts without spaces far more."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]")), F.lit(0)).cast("long")
 
 
@@ -98,6 +99,9 @@ def _round(docs: DataFrame, gaps: DataFrame, n_rows: int) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None) -> DataFrame:
     """(bin, doc_id, part, start, length, position): every document's tokens in sequences of at most ``capacity``.
 
+    ``length`` is a column of ``docs`` that counts a document's tokens, as ``op08_tokens.token_count`` does; without it words and signs are
+    counted (``token_length``) in place of tokens.
+
     Documents longer than ``capacity`` are cut: full parts fill a bin each, what is left over is packed as a document. The others are packed
     by rounds. In a round, documents and the open bins' gaps are sorted by size into ranges; a sweep from large to small gives each document
     the least free gap that holds it (its successor), so of documents that want the same gap the first by rank, the largest, gets it and the
@@ -157,7 +161,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Packed by the tokens of the vocabulary of ``op08_tokens``."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=token_count())
 
 
 QUERIES = {"op4_best_fit_packing": op4_best_fit_packing}

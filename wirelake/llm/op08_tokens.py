@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,18 @@ def counted(docs: DataFrame, cache: str, vocabulary: str = VOCABULARY, pattern:
     return ids.join(_cache(spark, cache, version), "digest", "left").select("doc_id", "tokens")
 
 
+def token_count(text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Column:
+    """The tokens of the normalised text, encoded in the pass that reads it, without a cache; a null text has 0."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = encoder(vocabulary, pattern)
+        for s in texts:
+            yield s.map(lambda t: 0 if t is None else len(enc.encode_ordinary(t))).astype("int64")
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "long")(normalised(F.col(text)))
+
+
 def _short() -> Column:
     return F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
 
