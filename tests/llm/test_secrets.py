@@ -99,3 +99,19 @@ def test_odd_documents(spark):
     assert s.findings(empty(spark)).count() == 0 and s.redacted(empty(spark)).count() == 0 and s.findings(df, rules=()).count() == 0
     twice = df.filter("doc_id = 13").union(df.filter("doc_id = 13"))
     assert s.findings(twice).count() == 2
+
+
+def test_forms_of_files():
+    find = s.Finder().find
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    for text in (f"aws_secret_access_key = {value}\nregion = x", f"DB_PASSWORD={value}", f"SECRET_KEY = '{value}'", f'{{"api_key_value": "{value}"}}', f"export API_TOKEN={value}; run", "DB_PASSWORD=p@ss!word#2024$xyz\n", f'"client-secret": "{value}"', f'{{\\"password\\": \\"{value}\\"}}'):
+        got = [text[a:b] for a, b, rule, _ in find(text.encode()) if rule == "assigned-secret"]
+        assert got == [value if value in text else "p@ss!word#2024$xyz"], text
+        assert find(s.redact(text, s.Finder()).encode()) == []
+    for text in ("the password: it was long ago", "token = read_the_next_token(stream)", "secret = <ASSIGNED-SECRET>", "password = short"):
+        assert find(text.encode()) == []
+    escaped = key().replace("\n", "\\n")
+    assert [(text[a:b], check) for text in (f'{{"private_key": "{escaped}\\n"}}',) for a, b, _, check in find(text.encode())] == [(escaped, "valid")]
+    sealed = key().replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n", 1)
+    for text in (sealed, sealed.replace("\n", "\\n"), sealed.replace("\n", "\r\n")):
+        assert find(text.encode()) == [(0, len(text), "private-key", "none")]

@@ -40,9 +40,12 @@ def jwt_header(secret: bytes) -> bool:
         return False
 
 
-def pem_body(secret: bytes) -> bool:
-    """The base64 body decodes to a DER sequence of the length that its header states, or to an OpenSSH key."""
-    body = b"".join(re.sub(rb"-----[^-]+-----", b"", secret).split())
+def pem_body(secret: bytes) -> bool | None:
+    """The base64 body decodes to a DER sequence of the length that its header states, or to an OpenSSH key; None if it is encrypted by headers."""
+    lines = re.sub(rb"\\+[nrt]", b"\n", re.sub(rb"-----[^-]+-----", b"", secret)).replace(b"\\/", b"/")
+    if re.search(rb"(?m)^\s*DEK-Info:", lines):
+        return None
+    body = b"".join(re.sub(rb"(?m)^\s*[A-Za-z][0-9A-Za-z-]*:.*$", b"", lines).split())
     try:
         der = base64.b64decode(body, validate=True)
     except (binascii.Error, ValueError):
@@ -91,8 +94,10 @@ RULES: tuple[Rule, ...] = (
     Rule("stripe-key", ("sk_live_", "rk_live_"), rb"[sr]k_live_[0-9A-Za-z]{20,247}" + _END),
     Rule("gitlab-token", ("glpat-",), rb"glpat-[0-9A-Za-z_\-]{20,}"),
     Rule("json-web-token", ("eyj",), rb"eyJ[0-9A-Za-z_\-]{10,}\.eyJ[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,}", "jwt_header", True),
-    Rule("private-key", ("-----begin",), rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\s0-9A-Za-z+/=]{40,}-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----", "pem_body", whole=False),
-    Rule("assigned-secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key"), rb"""(?i:token|secret|password|passwd|api[_-]?key|access_key)["']?\s{0,3}(?:=|:|=>)\s{0,3}["']([0-9A-Za-z_\-+/=.]{16,512})["']""", whole=False),
+    # line ends may be escaped (JSON), header lines (Proc-Type, DEK-Info) may come before the body
+    Rule("private-key", ("-----begin",), rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:\s|\\+[nrt])*+(?:[A-Za-z][0-9A-Za-z\-]*:[^\r\n\\]*(?:[\r\n]|\\+[nr])+[ \t]*)*+(?:[\s0-9A-Za-z+/=]|\\+[nrt/]){40,}-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----", "pem_body", whole=False),
+    # the keyword may have suffixes (SECRET_KEY); a value without quotes ends at white space, a comma, a semicolon or the text's end
+    Rule("assigned-secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key"), rb"""(?i:token|secret|password|passwd|api[_-]?key|access_key)(?:[_\-][0-9A-Za-z]{1,32}){0,4}(?:\\?["'])?\s{0,3}(?:=>|=|:)\s{0,3}(?:\\?["'](?=[^\s"'<>(){}\[\],;\\]{16,512}\\?["'])|(?=[^\s"'<>(){}\[\],;\\]{16,512}(?:[\s,;]|\Z)))([^\s"'<>(){}\[\],;\\]{16,512})""", whole=False),
 )
 CHECKS = {f.__name__: f for f in (crc32_base62, jwt_header, pem_body, aws_account)}
 _WORD = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -127,7 +132,8 @@ class Finder:
                     continue
                 if m := pattern.match(data, start):
                     a, b = m.span(1 if pattern.groups else 0)
-                    check = "none" if rule.check is None else "valid" if CHECKS[rule.check](data[a:b]) else "invalid"
+                    good = None if rule.check is None else CHECKS[rule.check](data[a:b])
+                    check = "none" if good is None else "valid" if good else "invalid"
                     if not (rule.needs and check == "invalid"):
                         found.append((a, -b, i, check))
         out, free = [], 0
