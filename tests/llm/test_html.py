@@ -80,3 +80,12 @@ def test_odd_pages(spark):
     by = {(g[0], g[4]) for g in got}
     assert {(1, ""), (2, ""), (3, "plain text"), (None, "x"), (5, "deep")} <= by and next(g for g in got if g[0] == 6)[4] == "\n".join(["i"] * 20_000)
     assert h.extracted(df.limit(0)).count() == 0
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    article = "<body><h1>One</h1><p>Its only paragraph</p></body>"
+    part = lambda i, more: f"<body><div>Site</div><h1>Title {i}</h1>{more}</body>"
+    rows = [(i, f"http://a.example/?utm_source={i}", article) for i in range(3)] + [(i, "http://b.example/", part(max(i, 12), "<table>kept</table>" if i < 13 else "")) for i in range(11, 15)]
+    got = {r["page_id"]: r for r in h.extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i]["fits"] and got[i]["text"] == "One\nIts only paragraph" for i in range(3))
+    assert [got[i]["text"] for i in range(11, 15)] == ["Title 12\nkept"] * 2 + ["Title 13", "Title 14"]

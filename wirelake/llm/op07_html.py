@@ -371,19 +371,19 @@ def extracted(pages: DataFrame, fan: int = FAN) -> DataFrame:
     A host's pages become streams of tags and texts; tandem repeats become groups that repeat. The distinct streams of a host are aligned one
     after another: what doesn't match becomes optional groups, what is found once and repeated elsewhere joins the group that repeats, and
     texts become slots. All pages take part; the outcome doesn't depend on their order. A slot whose text is the same on all the
-    pages that have it, two at least, is the template's and is left out, as are slots in navigation, footers, asides and forms. A page that
+    pages that have it, two at least that aren't copies (pages of the same texts), is the template's and is left out, as are slots in navigation, footers, asides and forms. A page that
     the finished wrapper doesn't take (fits is false) gives all of its texts but those in such places.
 
-    Nulls: null or empty html gives null title and empty text; null or odd urls are one host "". A null page_id is kept. Repeated rows are pages
-    of their own, so texts they alone have count as the same on all pages. An empty table gives an empty result. Pages of any length are
+    Nulls: null or empty html gives null title and empty text; null or odd urls are one host "". A null page_id is kept. Repeated rows and
+    copies under other page_ids count as one page when constant slots are looked for; each has its own row. An empty table gives an empty result. Pages of any length are
     parsed whole; unclosed tags, comments and scripts end with the page. Other columns are ignored.
     """
     parsed = scratch_table(only(pages, "page_id", "url", "html").mapInArrow(_parse, "page_id long, host string, symbols array<string>, texts array<string>, shape string"), "html-streams")
     made = wrappers(parsed, fan)
     slotted = parsed.drop("shape").join(checked_broadcast(made, 100_000), "host").mapInArrow(_assign, "page_id long, host string, fits boolean, slots array<int>, places array<string>, texts array<string>")
-    each = slotted.filter("fits").select("host", "page_id", F.explode(F.arrays_zip("slots", "texts")).alias("s"))
+    each = slotted.filter("fits").select("host", F.xxhash64("texts").alias("copy"), F.explode(F.arrays_zip("slots", "texts")).alias("s"))
     h = F.xxhash64("s.texts")
-    same = each.groupBy("host", F.col("s.slots").alias("slot")).agg(F.min(h).alias("a"), F.max(h).alias("b"), F.min("page_id").alias("p"), F.max("page_id").alias("q")).filter("a = b AND p <> q")
+    same = each.groupBy("host", F.col("s.slots").alias("slot")).agg(F.min(h).alias("a"), F.max(h).alias("b"), F.min("copy").alias("p"), F.max("copy").alias("q")).filter("a = b AND p <> q")
     constant = cut(same.groupBy("host").agg(F.collect_list("slot").alias("constant")))
     out = slotted.join(checked_broadcast(constant, 100_000), "host", "left").withColumn("z", F.arrays_zip("slots", "places", "texts"))
     of = lambda place: F.transform(F.filter("z", lambda x: (x["places"] == place) & (F.col("constant").isNull() | ~F.array_contains(F.col("constant"), x["slots"]))), lambda x: x["texts"])
