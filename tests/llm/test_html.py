@@ -89,3 +89,15 @@ def test_copies_of_one_page_are_no_template(spark):
     got = {r["page_id"]: r for r in h.extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i]["fits"] and got[i]["text"] == "One\nIts only paragraph" for i in range(3))
     assert [got[i]["text"] for i in range(11, 15)] == ["Title 12\nkept"] * 2 + ["Title 13", "Title 14"]
+
+
+def test_places_of_odd_markup():
+    def body(page):
+        symbols, texts = h.tokens(page)
+        return [t for t, place in zip(texts, h.contexts(symbols)) if place == "body"]
+
+    for page in ("<nav><a>x</a><h1>a</h1><div>b</div>", "<div><aside>x</div><p>a</p></aside><p>b</p>", "<button/><p>a</p><div>b</div>", "<form><p>a</p><p>b</p></form>", "<form/><i>a</i><p>b</p>", "<title>x<p>a</p><p>b</p>"):
+        assert body(page)[-2:] == ["a", "b"], page
+    assert body("<div><nav>x<ul><li>y<br></ul></nav><p>a</div></nav><footer>z<nav>u</nav>v</footer>b") == ["a", "b"]
+    symbols, texts = h.tokens("<li>i" * 20_000 + "</ol>" * 20_000)
+    assert h.contexts(symbols) == ["body"] * len(texts)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import html as htmllib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 from typing import NamedTuple, Union
 
 import pandas as pd
@@ -287,23 +289,42 @@ def structure(page: str | None) -> str:
     return dump(fold([Tag(s) for s in tokens(page)[0]]))
 
 
-_ASIDE = frozenset(("nav", "footer", "aside", "menu", "form", "button", "select"))
+_ASIDE = frozenset(("nav", "footer", "aside", "menu", "button", "select"))
+#: Elements without an end tag, or whose end tags say nothing about what stands in them.
+_UNNESTED = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "p"))
 
 
 def contexts(symbols: list[str]) -> list[str]:
-    """For each text in order: "title", "aside" (in an element of navigation or the like), or "body"."""
-    out, aside, title = [], 0, False
+    """For each text in order: "title", "aside" (in an element of navigation or the like), or "body".
+
+    Only elements that their own end tag closes count: those still open when an element around them or the page ends enclose nothing, and
+    end tags of no open element are passed over.
+    """
+    n = sum(s == TEXT for s in symbols)
+    steps = {"aside": [0] * (n + 1), "title": [0] * (n + 1)}
+    stack: list[tuple[str, int]] = []
+    still = Counter()
+    at = 0
     for s in symbols:
         if s == TEXT:
-            out.append("title" if title else "aside" if aside else "body")
+            at += 1
             continue
         name = s.strip("</>").partition(".")[0]
-        step = -1 if s.startswith("</") else 1
-        if name in _ASIDE:
-            aside = max(0, aside + step)
-        elif name == "title":
-            title = step > 0
-    return out
+        if name in _UNNESTED:
+            continue
+        if not s.startswith("</"):
+            stack.append((name, at))
+            still[name] += 1
+        elif still[name]:
+            while True:
+                top, start = stack.pop()
+                still[top] -= 1
+                if top == name:
+                    break
+            if kind := "aside" if name in _ASIDE else "title" if name == "title" else None:
+                steps[kind][start] += 1
+                steps[kind][at] -= 1
+    return ["title" if t else "aside" if x else "body" for t, x in list(zip(accumulate(steps["title"]), accumulate(steps["aside"])))[:n]]
 
 
 def _host(url: str | None) -> str:
@@ -371,12 +392,14 @@ def extracted(pages: DataFrame, fan: int = FAN) -> DataFrame:
     A host's pages become streams of tags and texts; tandem repeats become groups that repeat. The distinct streams of a host are aligned one
     after another: what doesn't match becomes optional groups, what is found once and repeated elsewhere joins the group that repeats, and
     texts become slots. All pages take part; the outcome doesn't depend on their order. A slot whose text is the same on all the
-    pages that have it, two at least that aren't copies (pages of the same texts), is the template's and is left out, as are slots in navigation, footers, asides and forms. A page that
+    pages that have it, two at least that aren't copies (pages of the same texts), is the template's and is left out, as are texts in navigation, footers, asides, menus, buttons and
+    selections that their own end tags close. A page that
     the finished wrapper doesn't take (fits is false) gives all of its texts but those in such places.
 
     Nulls: null or empty html gives null title and empty text; null or odd urls are one host "". A null page_id is kept. Repeated rows and
     copies under other page_ids count as one page when constant slots are looked for; each has its own row. An empty table gives an empty result. Pages of any length are
-    parsed whole; unclosed tags, comments and scripts end with the page. Other columns are ignored.
+    parsed whole; comments and scripts that aren't closed end with the
+    page, elements that aren't closed enclose nothing. Other columns are ignored.
     """
     parsed = scratch_table(only(pages, "page_id", "url", "html").mapInArrow(_parse, "page_id long, host string, symbols array<string>, texts array<string>, shape string"), "html-streams")
     made = wrappers(parsed, fan)
