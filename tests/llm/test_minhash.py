@@ -87,7 +87,7 @@ def test_posterior_bounds():
 
 
 def test_bounds_lose_few(spark):
-    """Pairs at the threshold are kept at about the chosen miss probability for each batch."""
+    """Pairs at the threshold are kept at about the chosen miss probability for all batches together."""
     import numpy as np
     import pandas as pd
 
@@ -134,3 +134,42 @@ def test_one_of_each_group_stays(spark):
     gone = {x for g in groups for x in g[1:]}
     assert {r["doc_id"] for r in m.deduplicated(df).collect()} == {r[0] for r in rows} - gone
     assert sorted((r["doc_id"], r["duplicate_of"]) for r in m.duplicates(df).collect()) == sorted((x, g[0]) for g in groups for x in g[1:])
+
+
+def test_texts_that_share_sixty_bits_of_their_key_are_two(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(m, "text_key", lambda text: F.unhex(F.concat(F.lit("0" * 16), F.substring(F.md5(text), 17, 16))))
+    rows = [(1, "first text of some words", "en", "a", 1), (2, "another one it has others entirely", "en", "a", 1), (3, "another one it has others entirely", "en", "a", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert groups_of(df) == [[2, 3]] and sorted(r[0] for r in m.deduplicated(df).collect()) == [1, 2]
+
+
+def test_exact_join_by_prefixes(spark):
+    rows = planted(80, 9)
+    sets = [(i, sorted({hash(g) for g in shingles(r[1])})) for i, r in enumerate(rows)]
+    got = {(r["a"], r["b"]) for r in m.exact_pairs(spark.createDataFrame(sets, "node long, set array<long>"), 0.5).collect()}
+    of = [set(x) for _, x in sets]
+    assert got == {(a, b) for a in range(len(of)) for b in range(a) if len(of[a] & of[b]) >= 0.5 * len(of[a] | of[b])} and len(got) > 30
+
+
+def test_bands_of_unrelated_documents_make_few_pairs(spark):
+    """10,000 documents that share a passage and little else meet in one bucket: the pairs compared grow with their number, and no link is lost."""
+    from pyspark.sql import functions as F
+
+    from wirelake.llm.grouping import bucket_groups
+
+    n = 10_000
+    members = spark.range(n).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("node"))
+    seen = []
+
+    def verify(edges):
+        seen.append(edges.count())
+        return edges.filter("a = b + 1 AND a % 100 = 1")
+
+    # a set: twenty shingles of the passage, sixty of its own; of each hundred the second repeats the first's
+    own = F.when(F.col("id") % 100 == 1, F.col("id") - 1).otherwise(F.col("id"))
+    passage = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda x: -x.cast("long"))
+    sets = spark.range(n).select(F.col("id").alias("node"), F.concat(passage, F.transform(F.sequence(F.lit(0), F.lit(59)), lambda x: own * 1000 + x)).alias("set"))
+    roots = {r["node"]: r["root"] for r in bucket_groups(members, verify, lambda ids: m.exact_pairs(sets.join(ids, "node"), 0.5)).collect()}
+    assert sum(seen) <= 2 * n and roots == {k: k // 100 * 100 for k in range(n) if k % 100 < 2}
