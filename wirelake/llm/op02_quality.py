@@ -15,12 +15,20 @@ from wirelake.llm.common import BROADCAST_ROWS, checked_broadcast, cut, extra_as
 from wirelake.llm.wordscan import IS_WORD, scan, text_bytes
 
 #: ALPHA is the share of clean documents that the cut-off rejects if statistics are normal; SUPPORT the share of documents that the
-#: estimate rests on, half for the greatest breakdown point; PRIOR the words of pseudo-evidence that pull short documents to the middle; FLOOR the least standard deviation.
-ALPHA, SUPPORT, STEPS, MIN_DOCS, PRIOR, FLOOR = 1e-6, 0.5, 5, 100, 30.0, 0.06
+#: estimate rests on, half for the greatest breakdown point; PRIOR the words of pseudo-evidence that pull short documents to the middle;
+#: FLOOR the least standard deviation; WEIGHT the documents of its parent's estimate that each estimate is pooled with.
+ALPHA, SUPPORT, PRIOR, FLOOR, WEIGHT = 1e-6, 0.5, 30.0, 0.06, 25.0
+#: Concentration goes on until no estimate's log determinant falls by more than TOLERANCE.
+TOLERANCE = 1e-3
 STATS = ("upper", "symbols", "word_length", "repeats", "stops", "variety")
 _P = len(STATS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
 _RES = 32
+#: Estimates that may be broadcast, some 500 bytes each.
+_FITS = 100_000
+#: What all documents' estimate is pooled with: usual prose, wide.
+_USUAL = (math.asin(math.sqrt(0.03)), 0.0, math.log(5.0), math.asin(math.sqrt(0.01)), math.log(0.12) / 2, 0.0)
+_USUAL_SD = 0.12
 
 
 def _upper(x: float, a: float) -> float:
@@ -117,17 +125,22 @@ def text_statistics(column: pa.Array, prior: float = PRIOR) -> np.ndarray:
     return out
 
 
+def _signs() -> Column:
+    """Whether the text has signs but no word."""
+    return F.col("text").rlike(r"\S") & ~F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
+
+
 def statistics(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """(doc_id, text_key, lang, source, x0..x5); the statistics of a text without words are null."""
+    """(doc_id, text_key, lang, source, signs, x0..x5); the statistics of a text without words are null, and signs tells that it isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = text_statistics(batch.column("text"), prior)
             give_back()
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text_key", "lang", "source")] + [pa.array(x[:, k], mask=np.isnan(x[:, k])) for k in range(_P)], ["doc_id", "text_key", "lang", "source", *[f"x{k}" for k in range(_P)]])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text_key", "lang", "source", "signs")] + [pa.array(x[:, k], mask=np.isnan(x[:, k])) for k in range(_P)], ["doc_id", "text_key", "lang", "source", "signs", *[f"x{k}" for k in range(_P)]])
 
-    cols = only(docs, "doc_id", "text", "lang", "source").withColumn("text_key", F.xxhash64("text"))
-    return cols.mapInArrow(run, "doc_id long, text_key long, lang string, source string, " + ", ".join(f"x{k} double" for k in range(_P)))
+    cols = only(docs, "doc_id", "text", "lang", "source").withColumn("text_key", F.xxhash64("text")).withColumn("signs", _signs())
+    return cols.mapInArrow(run, "doc_id long, text_key long, lang string, source string, signs boolean, " + ", ".join(f"x{k} double" for k in range(_P)))
 
 
 def _d2() -> Column:
@@ -174,52 +187,85 @@ def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["fit", "start", "mean", "inv", "logdet", "n"])
 
 
-def mcd(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, floor: float = FLOOR) -> DataFrame:
+def mcd(rows: DataFrame, support: float = SUPPORT, floor: float = FLOOR, tolerance: float = TOLERANCE) -> DataFrame:
     """(fit, start, mean, inv, logdet, n): reweighted minimum-covariance-determinant estimate of each ``fit`` over (fit, x0..x5).
 
-    From two deterministic starts, ``steps`` concentration steps each keep the ``support`` share of a fit's vectors that are nearest by
-    Mahalanobis distance and estimate mean and covariance anew; the start of lesser determinant wins and is reweighted once. All vectors
-    take part in every step; the distance that bounds the nearest ones is found by counts over 1/32 octaves, so ties are taken in together.
+    From two deterministic starts, concentration steps each keep the ``support`` share of a fit's vectors that are nearest by
+    Mahalanobis distance and estimate mean and covariance anew, until no determinant falls any more; the start of lesser determinant wins
+    and is reweighted once. All vectors take part in every step, in one pass: sums by 1/32 octave of the distance, of which the nearest
+    octaves are added up, so ties are taken in together.
     """
     q = [F.percentile_approx(f"x{k}", 0.5, 10_000).alias(f"m{k}") for k in range(_P)]
     mids = cut(rows.groupBy("fit").agg(F.count(F.lit(1)).alias("n"), *q).select("fit", "n", F.array(*[f"m{k}" for k in range(_P)]).alias("mid")))
-    off = rows.join(checked_broadcast(mids), "fit")
+    # The same fits in every step, so they are counted once.
+    hint = F.broadcast if mids.count() <= _FITS else (lambda x: x)
+    off = rows.join(hint(mids), "fit")
     mads = off.groupBy("fit").agg(F.first("n").alias("n"), F.first("mid").alias("mid"), F.array(*[F.percentile_approx(F.abs(F.col(f"x{k}") - F.col("mid")[k]), 0.5, 10_000) for k in range(_P)]).alias("mad"))
     params = cut(mads.mapInPandas(_starts, _PARAMS))
     nearest = Window.partitionBy("fit", "start").orderBy("b")
     whole = Window.partitionBy("fit", "start")
-    for _ in range(steps):
-        at = rows.join(checked_broadcast(params), "fit").withColumn("b", F.floor(F.log2(1 + _d2()) * _RES).cast("int"))
-        counts = at.groupBy("fit", "start", "b").count()
-        upto = F.sum("count").over(nearest)
-        edge = counts.withColumn("upto", upto).withColumn("all", F.sum("count").over(whole)).filter("upto >= {0} * all AND upto - count < {0} * all".format(support)).select("fit", "start", F.col("b").alias("edge"))
-        near = at.join(checked_broadcast(cut(edge)), ["fit", "start"]).filter("b <= edge")
-        params = cut(near.groupBy("fit", "start").agg(*_sums()).mapInPandas(_solve(consistency(support, _P), floor), _PARAMS))
+    first = True
+    while True:
+        at = rows.join(hint(params), "fit").withColumn("b", F.floor(F.log2(1 + _d2()) * _RES).cast("int"))
+        shells = at.groupBy("fit", "start", "b").agg(*_sums())
+        near = shells.withColumn("upto", F.sum("n").over(nearest)).withColumn("all", F.sum("n").over(whole)).filter(F.col("upto") - F.col("n") < support * F.col("all"))
+        names = ["n", *[f"s{k}" for k in range(_P)], *[f"q{i}" for i in range(len(_PAIRS))]]
+        new = near.groupBy("fit", "start").agg(*[F.sum(c).alias(c) for c in names]).mapInPandas(_solve(consistency(support, _P), floor), _PARAMS)
+        # An estimate whose determinant doesn't fall has converged and stays, so the loop ends. The starts' own determinants are of other scales.
+        old = params.select("fit", "start", *[F.col(c).alias(f"old_{c}") for c in ("mean", "inv", "logdet", "n")])
+        moved = F.lit(first) | (F.col("logdet") < F.col("old_logdet") - tolerance)
+        params = cut(new.join(hint(old), ["fit", "start"]).withColumn("moved", moved).select("fit", "start", *[F.when(F.col("moved"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in ("mean", "inv", "logdet", "n")], "moved"))
+        done, first = params.filter("moved").isEmpty(), False
+        params = params.drop("moved")
+        if done:
+            break
     best = Window.partitionBy("fit").orderBy("logdet", "start")
     params = cut(params.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r"))
-    inside = rows.join(checked_broadcast(params), "fit").filter(_d2() <= chi2_quantile(0.025, _P))
+    inside = rows.join(hint(params), "fit").filter(_d2() <= chi2_quantile(0.025, _P))
     return cut(inside.groupBy("fit", "start").agg(*_sums()).mapInPandas(_solve(consistency(0.975, _P), floor), _PARAMS))
 
 
-def _judged(docs: DataFrame, alpha: float = ALPHA, support: float = SUPPORT, steps: int = STEPS, min_docs: int = MIN_DOCS, prior: float = PRIOR, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
-    """What ``scored`` returns, and each group's estimate: (g, fit, mean, inv, ...), a row for each language and source."""
-    x = cut(statistics(docs, prior).withColumn("g", _group()))
-    by_lang, by_all = Window.partitionBy("l"), Window.partitionBy(F.lit(1))
-    groups = (
-        x.filter("x0 IS NOT NULL").groupBy("g", F.coalesce("lang", F.lit("\0")).alias("l")).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("n_l", F.sum("n").over(by_lang)).withColumn("n_a", F.sum("n").over(by_all))
-        .withColumn("fit", F.when(F.col("n") >= min_docs, F.concat(F.lit("s:"), "g")).when(F.col("n_l") >= min_docs, F.concat(F.lit("l:"), "l")).when(F.col("n_a") >= min_docs, F.lit("a")))
-        .withColumn("l_used", F.max(F.col("fit").startswith("l:")).over(by_lang)).withColumn("a_used", F.max(F.col("fit") == "a").over(by_all))
-        .withColumn("fits", F.array_compact(F.array("fit", F.when(F.col("l_used") & ~F.col("fit").startswith("l:"), F.concat(F.lit("l:"), "l")), F.when(F.col("a_used") & (F.col("fit") != "a"), F.lit("a")))))
-        .select("g", "fit", "fits")
-    )
-    groups = checked_broadcast(cut(groups))
+def _pooled(weight: float):
+    """Mean and inverse of a group's estimate pooled with ``weight`` documents of its language's, that with as many of all documents', and that with usual prose."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def full(packed) -> np.ndarray:
+            m = np.zeros((_P, _P))
+            for v, (i, j) in zip(packed, _PAIRS):
+                m[i, j] = m[j, i] = v
+            return m
+
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                mean, cov = np.array(_USUAL), np.eye(_P) * _USUAL_SD**2
+                for level in ("a", "l", "s"):
+                    if r[f"{level}_mean"] is not None:
+                        n = float(r[f"{level}_n"])
+                        mean = (n * np.array(r[f"{level}_mean"]) + weight * mean) / (n + weight)
+                        cov = (n * np.linalg.inv(full(r[f"{level}_inv"])) + weight * cov) / (n + weight)
+                inv = np.linalg.inv(cov)
+                out.append((r["g"], mean.tolist(), [inv[i, j] for i, j in _PAIRS]))
+            yield pd.DataFrame(out, columns=["g", "mean", "inv"])
+
+    return run
+
+
+def _judged(docs: DataFrame, alpha: float = ALPHA, support: float = SUPPORT, weight: float = WEIGHT, prior: float = PRIOR, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
+    """What ``scored`` returns, and each group's estimate: (g, mean, inv), a row for each language and source."""
+    x = cut(statistics(docs, prior).withColumn("g", _group()).withColumn("l", F.coalesce("lang", F.lit("\0"))))
     xs = [f"x{k}" for k in range(_P)]
-    rows = cut(x.filter("x0 IS NOT NULL").join(groups, "g").select(F.explode("fits").alias("fit"), *xs))
-    params = checked_broadcast(mcd(rows, support, steps, floor))
-    estimates = groups.drop("fits").join(params, "fit", "left")
-    out = x.join(groups.drop("fits"), "g", "left").join(params, "fit", "left").withColumn("d2", _d2())
-    return out.select("doc_id", "text_key", "lang", "source", "fit", F.sqrt("d2").alias("distance"), _far(alpha).alias("rejected")), estimates
+    worded = x.filter("x0 IS NOT NULL")
+    fits = F.array(F.lit("a"), F.concat(F.lit("l:"), "l"), F.concat(F.lit("s:"), "g"))
+    rows = cut(worded.select(F.explode(fits).alias("fit"), *xs))
+    p = mcd(rows, support, floor)
+    of = lambda level: p.select(F.col("fit").alias(f"{level}_fit"), *[F.col(c).alias(f"{level}_{c}") for c in ("mean", "inv", "n")])
+    groups = worded.select("g", "l").distinct().withColumn("a_fit", F.lit("a")).withColumn("l_fit", F.concat(F.lit("l:"), "l")).withColumn("s_fit", F.concat(F.lit("s:"), "g"))
+    for level in ("a", "l", "s"):
+        groups = groups.join(of(level), f"{level}_fit", "left")
+    estimates = cut(groups.mapInPandas(_pooled(weight), "g string, mean array<double>, inv array<double>"))
+    out = x.join(checked_broadcast(estimates, _FITS), "g", "left").withColumn("d2", _d2())
+    return out.select("doc_id", "text_key", "lang", "source", F.sqrt("d2").alias("distance"), _far(alpha).alias("rejected")), estimates
 
 
 def _group() -> Column:
@@ -228,19 +274,19 @@ def _group() -> Column:
 
 
 def _far(alpha: float) -> Column:
-    return F.coalesce(F.col("d2") > chi2_quantile(alpha, _P), F.lit(False))
+    return F.coalesce(F.col("d2") > chi2_quantile(alpha, _P), F.col("signs"), F.lit(False))
 
 
 def scored(docs: DataFrame, **params) -> DataFrame:
-    """(doc_id, text_key, lang, source, fit, distance, rejected) of every document row.
+    """(doc_id, text_key, lang, source, distance, rejected) of every document row.
 
-    Each (lang, source) of at least ``min_docs`` documents has its own estimate over all of them; smaller ones use their language's
-    over all of its documents, smaller languages that over all documents. A document is rejected if its distance is beyond the
-    chi-square quantile of tail ``alpha``.
+    Each (lang, source) has its own estimate over all of its documents, pooled with ``weight`` documents of its language's, which is pooled
+    likewise with all documents', and that with usual prose: one rule for groups and tables of any size, by which many documents speak for
+    themselves and few lean on their like. A document is rejected if its distance is beyond the chi-square quantile of tail ``alpha``.
 
-    Nulls: null lang and null source are groups of their own; null, empty and wordless texts have null distance and aren't rejected, as are
-    all documents if fewer than ``min_docs`` have words. A null doc_id is kept. Repeated rows and ties count as often as they occur and are
-    decided alike. An empty table gives an empty result. Statistics of very long texts are of the whole text.
+    Nulls: null lang and null source are groups of their own; null, empty and blank texts have null distance and aren't rejected; texts of
+    signs without a word have null distance and are. A null doc_id is kept. Repeated rows and ties count as often as they occur and are
+    decided alike. An empty table gives an empty result. Statistics of very long texts are of the whole text. Other columns are ignored.
     """
     return _judged(docs, **params)[0]
 
@@ -256,17 +302,20 @@ def _statistics_of(prior: float):
 
 @extra_aside("doc_id", "text", "lang", "source")
 def kept(docs: DataFrame, max_broadcast: int = BROADCAST_ROWS, **params) -> DataFrame:
-    """``docs`` without what ``scored`` rejects; rows with null text stay, a null doc_id is as good as any.
+    """``docs`` without what ``scored`` rejects, with all columns, whatever their names.
 
     Up to ``max_broadcast`` rejected documents are taken out by their keys. Beyond that the statistics are computed a second time, in the
-    pass that filters: so texts are never shuffled, however many there are.
+    pass that filters: so texts are never shuffled, however many there are; the same rows stay.
+
+    Nulls: rows with null, empty or blank text stay; null lang and source are groups of their own; a null doc_id is as good as any. Texts of
+    signs only go. Ties and repeated rows are decided alike. Texts of any length are read whole. An empty table gives an empty result.
     """
     scores, estimates = _judged(docs, **params)
     bad = cut(scores.filter("rejected").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct())
     if bad.limit(max_broadcast + 1).count() > max_broadcast:
         xs = _statistics_of(params.get("prior", PRIOR))("text")
-        at = docs.withColumn("__g", _group()).withColumn("__xs", xs).join(checked_broadcast(cut(estimates.withColumnRenamed("g", "__g"))), "__g", "left")
-        at = at.withColumns({f"x{k}": F.col("__xs")[k] for k in range(_P)}).withColumn("d2", _d2())
+        at = docs.withColumn("g", _group()).withColumn("signs", _signs()).withColumn("xs", xs).join(checked_broadcast(estimates, _FITS), "g", "left")
+        at = at.withColumns({f"x{k}": F.col("xs")[k] for k in range(_P)}).withColumn("d2", _d2())
         return at.filter(~_far(params.get("alpha", ALPHA))).select(*docs.columns)
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")) & docs["lang"].eqNullSafe(F.col("__lang")) & docs["source"].eqNullSafe(F.col("__source"))
     return docs.join(F.broadcast(bad), same, "left_anti")
