@@ -59,6 +59,52 @@ def test_valid_and_tight(spark, monkeypatch, rows_a_task):
     assert used <= 1.03 * (whole + best_fit([n % 100 for n in sizes.values() if n % 100], 100)) + 1
 
 
+def rounds(sizes, capacity):
+    """The bins' contents by the rounds that ``pack`` states, without ranges: one sweep over all documents and gaps, on lists."""
+    left = {i: n for i, n in enumerate(sizes) if n}
+    gaps, bins = {}, defaultdict(list)
+    while left:
+        if not gaps or max(gaps.values()) < 1:
+            at = len(bins)
+            for b in range(at, at + -(-sum(left.values()) // capacity)):
+                gaps[b], bins[b] = capacity, []
+        most = max(left.values())
+        slots = []
+        for b, g in gaps.items():
+            times = max(g // most, 1)
+            slots += [(g // times, b * (capacity + 1) + k) for k in range(times)]
+        stack, got = [], {}
+        for n, kind, uid in sorted([(g, 0, u) for g, u in slots] + [(n, 1, u) for u, n in left.items()], key=lambda x: (-x[0], x[1], x[2])):
+            if kind == 0:
+                stack.append(uid)
+            elif stack:
+                got[uid] = stack.pop() // (capacity + 1)
+        for i, b in got.items():
+            bins[b].append(sizes[i])
+            gaps[b] -= left.pop(i)
+        if left:
+            gaps = {b: g for b, g in gaps.items() if g >= min(left.values())}
+    return sorted(sorted(x) for x in bins.values() if x)
+
+
+@pytest.mark.parametrize("rows_a_task", [200_000, 30])
+def test_assignment_against_brute_force(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(p, "ROWS_A_TASK", rows_a_task)
+    r = random.Random(3)
+    sizes = [r.choice([r.randint(1, 99), r.randint(1, 20), 0]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, size long").coalesce(1)  # so rows are numbered in this order
+    bins = defaultdict(list)
+    for x in p.pack(df, 100, F.col("size")).collect():
+        if x["bin"] is not None:
+            bins[x["bin"]].append(x["length"])
+    assert sorted(sorted(x) for x in bins.values()) == rounds(sizes, 100)
+
+
+def test_null_lengths(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, -4), (4, 3)], "doc_id long, tok long")
+    assert sorted((x["doc_id"], x["length"], x["bin"] is None) for x in p.pack(df, 8, F.col("tok")).collect()) == [(1, 5, False), (2, 0, True), (3, 0, True), (4, 3, False)]
+
+
 def test_matches_across_ranges():
     left = [(0, 0, 5), (1, 3, 1), (2, 7, 0), (3, 1, 2)]
     pieces = p.across(left)

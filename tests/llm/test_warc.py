@@ -35,11 +35,24 @@ def test_every_split_gives_the_same(split):
     bodies = [bytes(r.choices(range(256), k=r.randint(0, 300))) + (w.MAGIC * 3 if i % 3 == 0 else b"") for i in range(12)]
     data = b"".join(member(i, b) for i, b in enumerate(bodies))
     got = all_records(data, split)
-    assert [p for _, _, p in got] == bodies and [h["x-page-id"] for _, h, _ in got] == [str(i) for i in range(12)]
+    assert [p for *_, p in got] == bodies and [h["x-page-id"] for _, _, h, _ in got] == [str(i) for i in range(12)]
     # the whole file decompressed is the records in order
     assert gzip.decompress(data).count(b"WARC/1.0\r\n") == 12
 
 
+@pytest.mark.parametrize("split", [1, 50, 1 << 20])
+def test_members_of_several_records(split):
+    raw = [gzip.decompress(member(i, bytes([65 + i]) * (i * 40))) for i in range(5)]
+    data = gzip.compress(b"".join(raw[:3])) + gzip.compress(raw[3]) + gzip.compress(raw[4])
+    got = all_records(data, split)
+    assert [(h["x-page-id"], p, n) for _, n, h, p in got] == [(str(i), bytes([65 + i]) * (i * 40), i if i < 3 else 0) for i in range(5)]
+    assert len({at for at, *_ in got}) == 3
+    damaged = bytearray(gzip.compress(b"".join(raw[:3]), 0))
+    damaged[damaged.find(b"C" * 40) + 5] ^= 1  # in the last of three: the checksum fails
+    got = [h["x-page-id"] for _, _, h, _ in all_records(bytes(damaged) + gzip.compress(raw[4]), split)]
+    assert got[-1] == "4" and "2" not in got
+
+
 @pytest.mark.parametrize("split", [13, 1 << 20])
 def test_damage_is_passed_over(split):
     good = [member(i, b"x" * 50) for i in range(4)]
@@ -47,7 +60,7 @@ def test_damage_is_passed_over(split):
     broken[len(broken) // 2] ^= 0xFF
     other = gzip.compress(b"no record at all")
     data = good[0] + bytes(broken) + b"junk" + w.MAGIC + b"\0" * 9 + other + good[2] + good[3][:-5]
-    assert [h["x-page-id"] for _, h, _ in all_records(data, split)] == ["0", "2"]
+    assert [h["x-page-id"] for _, _, h, _ in all_records(data, split)] == ["0", "2"]
 
 
 def test_headers():

@@ -109,11 +109,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     largest document left several times takes part as so many gaps, so small documents don't take a round each. When no document finds a
     gap, as many bins are opened as the rest needs at least, until all are placed.
 
-    Nulls: a null text has length 0, as have empty texts and those of white space; such documents are in no bin: bin and position are null. A null doc_id is packed as any other.
+    Nulls: a null text has length 0, as have empty texts and those of white space, and a null or negative ``length`` counts as 0; such documents are in no bin: bin and position are null. A null doc_id is packed as any other.
     Repeated rows are packed each on its own. Ties of size are ranked by row. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    sized = (only(docs, "doc_id", "text") if length is None else docs).select("doc_id", (token_length() if length is None else length).alias("n"))
+    sized = (only(docs, "doc_id", "text") if length is None else docs).select("doc_id", F.greatest(F.coalesce(token_length() if length is None else length, F.lit(0)).cast("long"), F.lit(0)).alias("n"))
     parts = F.when(F.col("n") > capacity, F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1), lambda i: i)).otherwise(F.array(F.lit(0)))
     items = cut(
         sized.select("doc_id", "n", F.explode(parts).alias("part"))
