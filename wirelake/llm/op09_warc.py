@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,13 +18,22 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from wirelake.llm.common import delete_at_exit, only, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
-SCHEMA = "path string, offset long, type string, record_id string, uri string, date string, content_type string, headers map<string,string>, payload binary"
-_ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+SCHEMA = "path string, offset long, number int, type string, record_id string, uri string, date string, content_type string, headers map<string,string>, payload binary"
+_ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("number", pa.int32()), ("type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 _BLOCK = 1 << 20
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """Of a qualified path; one without a scheme is the local file system's."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: that of the default file system, as Spark itself has it, if none is named."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -63,40 +73,74 @@ class _Window:
         return self.file.read(min(n, self.size - at))
 
 
-def _member(w: _Window, at: int, block: int) -> tuple[bytes, int] | None:
-    """The decompressed gzip member at ``at`` and the place after it; None unless it begins with a WARC header and its checksum holds."""
+def _parts(w: _Window, at: int, block: int) -> Iterator[tuple[bytes, int]]:
+    """Pieces of the decompressed gzip member at ``at``; the last one, (b"", place after it), comes only if its checksum holds."""
     d = zlib.decompressobj(31)
-    out: list[bytes] = []
-    got, pos, seen = 0, at, False
+    pos, most = at, 16  # a few bytes are enough to tell a record from chance
     while not d.eof:
-        raw = w.read(pos, block)
+        raw = d.unconsumed_tail
         if not raw:
-            return None
-        pos += len(raw)
+            raw = w.read(pos, block)
+            if not raw:
+                return
+            pos += len(raw)
         try:
-            # A few bytes are enough to tell a record from chance.
-            piece = d.decompress(raw, 0 if seen else 16)
-            if not seen:
-                while len(piece) < 5 and not d.eof and d.unconsumed_tail:
-                    piece += d.decompress(d.unconsumed_tail, 16)
-                if len(piece) >= 5 or d.eof:
-                    if not piece.startswith(b"WARC/"):
-                        return None
-                    seen = True
-                if d.unconsumed_tail:
-                    piece += d.decompress(d.unconsumed_tail)
+            piece = d.decompress(raw, most)
         except zlib.error:
-            return None
-        out.append(piece)
-        got += len(piece)
-    return b"".join(out), pos - len(d.unused_data)
+            return
+        most = 4 * block
+        if piece:
+            yield piece, -1
+    yield b"", pos - len(d.unused_data)
+
+
+def _member(w: _Window, at: int, block: int) -> Iterator[tuple[int, dict[str, str], bytes] | int]:
+    """(number, headers, block) of the records of the gzip member at ``at``, then the place after it.
 
+    Ends early where the member isn't one, is damaged or holds something else than records. A record is returned once the next one begins
+    or the member's checksum holds; so of a damaged member the records in the blocks before the damage are returned, and never all of it is held in memory.
+    """
+    data, number, held = bytearray(), 0, None
+    for piece, after in _parts(w, at, block):
+        data += piece
+        while len(data) >= 5:
+            if not data.startswith(b"WARC/"):
+                return
+            if held:
+                yield held
+                held = None
+            size = record_size(data)
+            if size is None or len(data) < size:
+                if after >= 0:
+                    return
+                break
+            held = number, *parse_record(bytes(data[:size]))
+            number += 1
+            del data[:size]
+            while data[:2] == b"\r\n":
+                del data[:2]
+        if held and data[:2] == b"\r\n":  # the pair of line ends behind a record, cut by pieces
+            while data[:2] == b"\r\n":
+                del data[:2]
+        if after >= 0 and held:
+            yield held
+            yield after
+
+
+def record_size(data: bytearray) -> int | None:
+    """Bytes of the record at the start of ``data``, without the line ends behind it; None if its head isn't whole or states no length."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    m = re.search(rb"(?i)\r\ncontent-length[ \t]*:[ \t]*([0-9]+)[ \t]*\r\n", bytes(data[: end + 2]))
+    return end + 4 + int(m[1]) if m else None
 
-def records(w: _Window, start: int, end: int, block: int = _BLOCK) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of the records that begin in [start, end).
 
-    The range is scanned for gzip magic; a candidate counts if it decompresses to a WARC record to its end, and the scan goes on after it,
-    else behind its first byte. A record that begins inside is read to its end, beyond ``end`` if need be.
+def records(w: _Window, start: int, end: int, block: int = _BLOCK) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, number, headers, block) of the records of the gzip members that begin in [start, end), number counting a member's records.
+
+    The range is scanned for gzip magic; a candidate counts if it decompresses to WARC records to its end, and the scan goes on after it,
+    else behind its first byte. A member that begins inside is read to its end, beyond ``end`` if need be.
     """
     at = start
     while at < end:
@@ -109,13 +153,16 @@ def records(w: _Window, start: int, end: int, block: int = _BLOCK) -> Iterator[t
             continue
         at += hit
         while at < end:
-            found = _member(w, at, block)
-            record = parse_record(found[0]) if found else None
-            if record is None:
+            after = 0
+            for found in _member(w, at, block):
+                if isinstance(found, int):
+                    after = found
+                else:
+                    yield at, *found
+            if not after:
                 at += 1
                 break
-            yield at, *record
-            at = found[1]
+            at = after
 
 
 class _Range(InputPartition):
@@ -142,8 +189,8 @@ class _Reader(DataSourceReader):
         rows: list[tuple] = []
         size = 0
         with f.open_input_file(partition.path) as file:
-            for at, h, payload in records(_Window(file, file.size()), partition.start, partition.end):
-                rows.append((partition.path, at, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), list(h.items()), payload))
+            for at, number, h, payload in records(_Window(file, file.size()), partition.start, partition.end):
+                rows.append((partition.path, at, number, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), list(h.items()), payload))
                 size += len(payload)
                 if size > 4 << 20:
                     yield _batch(rows)
@@ -171,14 +218,14 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
-    """The records of the gzipped WARC file or folder at ``path`` (one gzip member a record), whatever task reads which bytes.
+    """The records of the gzipped WARC file or folder at ``path``, whatever task reads which bytes; a gzip member may hold any number of them.
 
-    Bytes that aren't a record (damage, plain gzip members, padding) are passed over; a cut-off last record is left out; records without
+    A path without a scheme is one of the default file system. Bytes that aren't a record (damage, plain gzip members, padding) are passed over; a cut-off last record is left out; records without
     target or date have nulls there; an empty file or folder gives an empty result. Header names are in lower case. Records of any length
     are returned whole. Repeated records are returned each time.
     """
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("path", path).option("splitBytes", split_bytes).load()
+    return spark.read.format("warc").option("path", qualified(spark, path)).option("splitBytes", split_bytes).load()
 
 
 def warc_member(record_type: str, uri: str | None, payload: bytes, record_id: str, date: str, extra: dict[str, str], content_type: str, level: int = 6) -> bytes:
@@ -195,6 +242,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     A task writes under a passing name and at its end takes the name of its partition, so a task that is run again, after a loss or beside
     a slow one, replaces its file. Null url: no target URI; null html: no bytes, marked by the Content-Type; null page_id: no X-Page-Id.
     """
+    path = qualified(pages.sparkSession, path)
     f, base = filesystem(path)
     f.create_dir(base, recursive=True)
 
@@ -221,16 +269,20 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
 
 
 def pages_of(records: DataFrame) -> DataFrame:
-    """(page_id, url, html) of resource records that ``write_warc`` wrote."""
+    """(page_id, url, html) of resource records that ``write_warc`` wrote.
+
+    Records without target have a null url, those of null html a null html, those without X-Page-Id a null page_id; empty and long pages
+    come back as they were, repeated ones each time; records of other kinds give what their headers and block hold; no records give no rows.
+    """
     html = F.when(F.col("content_type") != "application/x-none", F.decode("payload", "utf-8"))
     return records.select(F.col("headers")["x-page-id"].cast("long").alias("page_id"), F.col("uri").alias("url"), html.alias("html"))
 
 
 def op9_warc_reader(spark, sf_dir: str) -> DataFrame:
-    """The pages, written as WARC and read back from byte ranges."""
+    """The pages, written as WARC and read back from byte ranges: the same rows, with nulls, empty and repeated ones; extra columns are left out."""
     path = delete_at_exit(spark, scratch_path(spark, "warc"))
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return pages_of(read_warc(spark, path, 4 << 20))
+    return pages_of(read_warc(spark, path, 1 << 20))
 
 
 QUERIES = {"op9_warc_reader": op9_warc_reader}
