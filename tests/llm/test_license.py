@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -8,7 +9,18 @@ from wirelake.llm.license_texts import TEMPLATES
 from wirelake.llm.op01_license import license_spans, oracle, template_words
 
 
-def brute(rows, templates, gram=3, band=3, share=0.8):
+def common(a, b):
+    """The longest common subsequence's length, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def brute(rows, templates, gram=3, band=3, share=0.8, strong=0.1, gap=0.25):
     """The same definition over plain lists."""
     found = []
     for doc_id, text in {(r[0], r[1]) for r in rows if r[1] is not None}:
@@ -32,8 +44,16 @@ def brute(rows, templates, gram=3, band=3, share=0.8):
                     x |= {"high": d, "first": first, "start": min(x["start"], first), "end": max(x["end"], last), "votes": x["votes"] + len(votes[d])}
                 else:
                     islands.append({"low": d, "high": d, "first": first, "start": first, "end": last, "votes": len(votes[d])})
-            for x in islands:
-                n = sum(any(0 <= j + d < len(words) and words[j + d] == t[j] for d in range(x["low"], x["high"] + 1)) for j in range(len(t)))
+            chains = []
+            for x in sorted((x for x in islands if x["votes"] >= strong * len(t)), key=lambda x: (x["low"], x["start"])):
+                if chains and x["low"] - chains[-1]["last"]["high"] <= gap * len(t) and abs(x["start"] - chains[-1]["last"]["start"]) <= 2 * len(t):
+                    y = chains[-1]
+                    y |= {"last": x, "high": max(y["high"], x["high"]), "start": min(y["start"], x["start"]), "end": max(y["end"], x["end"]), "votes": y["votes"] + x["votes"]}
+                else:
+                    chains.append(x | {"last": x})
+            for x in chains:
+                span, wide = words[max(x["low"], 0) : x["high"] + len(t)], math.ceil(len(t) * (1 + gap))
+                n = max(common(t, span[k : k + wide]) for k in range(max(1, len(span) - wide + 1)))
                 if n / len(t) >= share:
                     found.append((doc_id, name, x["start"], x["end"], x["votes"], n, n / len(t)))
     return sorted(found, key=repr)
@@ -58,6 +78,27 @@ def test_brute_force(spark):
     assert got == brute(rows, TEMPLATES) and len({g[0] for g in got}) >= 35
 
 
+def test_a_phrase_more_or_less_in_the_middle(spark):
+    text = dict(TEMPLATES)["bsd-2-clause"]
+    words = text.split()
+    k = len(words) // 2
+    rows = [(1, " ".join([*words[:k], *"in this position and unchanged by anybody at all".split(), *words[k:]]), "en", "a", 1), (2, " ".join([*words[:k], *words[k + 9 :]]), "en", "a", 1)]
+    got = {r["doc_id"]: r for r in license_spans(spark.createDataFrame(rows, SCHEMA)).collect() if r["license"] == "bsd-2-clause"}
+    assert got[1]["similarity"] == 1.0 and 0.8 < got[2]["similarity"] < 1
+
+
+def test_scattered_trigrams_are_no_licence(spark):
+    r = random.Random(12)
+    for name, text in TEMPLATES:
+        t = template_words(text)
+        if len(t) < 30:
+            continue  # too short for sixty trigrams to be out of order everywhere
+        at = [r.randrange(len(t) - 2) for _ in range(60)]
+        rows = [(1, " ".join(" ".join(t[p : p + 3]) for p in at), "en", "a", 1)]
+        assert [g for g in brute(rows, [(name, text)])] == []
+        assert license_spans(spark.createDataFrame(rows, SCHEMA), templates=[(name, text)]).count() == 0
+
+
 def test_sql(spark):
     rows = planted(2)
     df = spark.createDataFrame(rows, SCHEMA)
