@@ -1,4 +1,6 @@
 import random
+import time
+from html.parser import HTMLParser
 
 from docs import prose
 
@@ -101,3 +103,78 @@ def test_places_of_odd_markup():
     assert body("<div><nav>x<ul><li>y<br></ul></nav><p>a</div></nav><footer>z<nav>u</nav>v</footer>b") == ["a", "b"]
     symbols, texts = h.tokens("<li>i" * 20_000 + "</ol>" * 20_000)
     assert h.contexts(symbols) == ["body"] * len(texts)
+
+
+class Leaves(HTMLParser):
+    """Another reading of a page, by the standard library's parser: (path of open elements, text) in order."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.leaves = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("img", "br", "meta", "link", "hr", "input"):
+            self.path.append(tag + "." + (dict(attrs).get("class") or ""))
+
+    def handle_endtag(self, tag):
+        if self.path and self.path[-1].split(".")[0] == tag:
+            self.path.pop()
+
+    def handle_data(self, data):
+        if data.strip() and not {x.split(".")[0] for x in self.path} & {"script", "style", "nav", "footer", "aside", "title"}:
+            self.leaves.append(("/".join(self.path), " ".join(data.split())))
+
+
+def brute(pages):
+    """Texts that aren't the only text ever seen in their place (path, and whether it is the only one of that path on its page) on most distinct pages."""
+    read = [Leaves(p).leaves for p in pages]
+    distinct = {tuple(x) for x in read}
+    on, texts = {}, {}
+    for leaves in distinct:
+        for path in {p for p, _ in leaves}:
+            on[path] = on.get(path, 0) + 1
+        for path, text in leaves:
+            texts.setdefault(path, set()).add(text)
+    constant = {p for p in on if len(texts[p]) == 1 and on[p] > 1 and on[p] > len(distinct) / 2}
+    return ["\n".join(t for p, t in leaves if p not in constant) for leaves in read]
+
+
+def card(r, i, k):
+    """Over twenty symbols."""
+    return f"<section class='card'><a class='pic' href='/{k}'><img src='{k}.png'></a><h3 class='head'>Head {i} {k}</h3>" + "".join(f"<div class='f{c}'><b class='n{c}'>Field {i} {k} {c}</b></div>" for c in "abcd") + "</section>"
+
+
+def test_against_another_inference(spark):
+    r = random.Random(31)
+    rows = []
+    for i in range(40):
+        cards = "".join(card(r, i, k) for k in range(r.randint(2, 6)))
+        option = f"<blockquote class='q'>Said by {i}</blockquote>" if i % 3 == 0 else ""
+        html = f"<html><head><title>T {i}</title></head><body><nav><a>Home</a></nav><div class='site'>The site</div><h1 class='t'>Title {i}</h1>{option}<main>{cards}</main><div class='legal'>All rights</div><footer>c</footer></body></html>"
+        rows.append((i, "https://a.example/x", html))
+    rows += [(100 + i, f"https://a.example/x?again={i}", html) for i, (_, _, html) in enumerate(rows[:10])]
+    rows += [(200 + i, "https://b.example/x", f"<body><div class='site'>B</div><h1>Title {i}</h1>" + ("<p class='quote'>A quotation</p>" if i < 2 else "") + f"<p class='x'>Body {i}</p></body>") for i in range(4)]
+    got = {x["page_id"]: x for x in h.extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for host in ("a.example", "b.example"):
+        own = [x for x in rows if host in x[1]]
+        for (i, _, _), want in zip(own, brute([x[2] for x in own])):
+            assert got[i]["fits"] and got[i]["text"] == want, i
+    assert all("A quotation" in got[200 + i]["text"] for i in range(2)) and "The site" not in got[0]["text"]
+
+
+def test_repeats_of_any_period():
+    r = random.Random(32)
+    pages = {n: "<ul>" + "".join(card(r, 0, k) for k in range(n)) + "</ul>" for n in (2, 3, 4)}
+    assert len(h.tokens(card(r, 0, 0))[0]) > 20
+    w = h.Wrapper(h.load(h.infer([h.structure(pages[2]), h.structure(pages[4])])))
+    assert len(h.load(h.structure(pages[4]))) == 3 and w.match(h.tokens(pages[3])[0]) is not None
+
+
+def test_time_grows_with_the_length():
+    for piece in ("<a ", "<a \"", "<a '\"", "<script ", "x<!-- -->", "</script ", "<a b='<a \"'"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.perf_counter()
+        h.tokens(page)
+        assert time.perf_counter() - began < 5, piece

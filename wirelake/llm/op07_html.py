@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 from itertools import accumulate
 from typing import NamedTuple, Union
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,12 +19,16 @@ from pyspark.sql import functions as F
 
 from wirelake.llm.common import checked_broadcast, cut, only, scratch_table
 
+#: A slot of one text is the template's if more than SHARE of the host's distinct pages have it.
+SHARE = 0.5
 #: Structures that one task aligns; the wrappers of so many structures are aligned in their turn, until a host has one.
 FAN = 64
+#: Attributes up to the next < outside of quotes: a tag that isn't closed before it is text, so each byte is looked at a bounded number of times.
+_ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"|<(script|style|noscript|template)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>",
     re.S | re.I,
 )
 _CLASS = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -54,21 +59,22 @@ def tokens(page: str | None) -> tuple[list[str], list[str]]:
     if not page:
         return symbols, texts
     at = 0
+    run: list[str] = []
 
-    def text(piece: str) -> None:
-        piece = " ".join(htmllib.unescape(piece).split()) if piece else ""
-        if piece:
-            if symbols and symbols[-1] == TEXT:
-                texts[-1] += " " + piece
-            else:
+    def end_text() -> None:
+        if run:
+            piece = " ".join(" ".join(htmllib.unescape(x) for x in run).split())
+            if piece:
                 symbols.append(TEXT)
                 texts.append(piece)
+            run.clear()
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            text(page[at : m.start()])
+            run.append(page[at : m.start()])
         at = m.end()
         if m.group(3):
+            end_text()
             name = m.group(3).lower()
             if m.group(2):
                 symbols.append(f"</{name}>")
@@ -77,12 +83,13 @@ def tokens(page: str | None) -> tuple[list[str], list[str]]:
                 mark = next((g for g in named.groups() if g), "") if named else ""
                 # numbers in names count the same: they tell instances apart
                 symbols.append(f"<{name}.{re.sub(r'[0-9]+', '0', mark.strip())}>" if mark else f"<{name}>")
-    text(page[at:])
+    run.append(page[at:])
+    end_text()
     return symbols, texts
 
 
 class _Interned:
-    """Characters for nodes, so that repeats can be found by regular expressions: closing tags and text, opening tags, groups."""
+    """Characters for nodes, so that repeats can be found in strings: closing tags and text, opening tags, groups."""
 
     def __init__(self):
         self.char: dict[Node, str] = {}
@@ -98,36 +105,54 @@ class _Interned:
         return c
 
 
-_LONGEST = 12
-_REPEATS = [re.compile(f"([\U00010000-\U0010ffff].{{{p - 1}}})\\1+", re.S) for p in range(1, _LONGEST + 1)]
+_OPEN = 0x10000
 
 
-def fold(nodes: list[Node]) -> list[Node]:
-    """Tandem repeats of up to 12 nodes become groups that may follow themselves, shortest periods first, until nothing changes.
+def _repeats(s: str, period: int) -> list[tuple[int, int]]:
+    """(start, times) of the tandem repeats of that period, from left to right; a repeat begins with a tag that opens or with a group."""
+    a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = a[:-period] == a[period:]
+    if np.count_nonzero(same) < period:
+        return []
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).view(np.int8)))
+    out = []
+    for start, end in edge.reshape(-1, 2):
+        if end - start >= period:
+            begins = np.flatnonzero(a[start : end - period + 1] >= _OPEN)
+            if len(begins):
+                i = int(start + begins[0])
+                out.append((i, int(end + period - i) // period))
+    return out
 
-    A repeat begins with a tag that opens or with a group.
-    """
+
+def fold(nodes: list[Node]) -> list[Node]:
+    """Tandem repeats of any number of nodes become groups that may follow themselves, shortest periods first, until nothing changes."""
     table = _Interned()
     s = "".join(table.of(x) for x in nodes)
 
-    def group(m: re.Match) -> str:
-        body = m.group(1)
+    def group(body: str) -> str:
         g = table.node[body] if len(body) == 1 else None
         return body if isinstance(g, Group) and g.many else table.of(Group(tuple(table.node[c] for c in body), 1, True))
 
     before = ""
     while before != s:
         before = s
-        for repeat in _REPEATS:
-            t = repeat.sub(group, s)
-            if t == s and s is not before:
-                continue
-            for c in sorted({c for c in t if c >= "\U00060000"}):
-                g = table.node[c]
-                if g.many:
-                    body = re.escape("".join(table.of(x) for x in g.body))
-                    t = re.sub(f"(?:{body})*{c}(?:{body}|{c})*", c, t)
-            s = t
+        period = 1
+        while 2 * period <= len(s):
+            out, at = [], 0
+            for start, times in _repeats(s, period):
+                if start >= at:
+                    out += [s[at:start], group(s[start : start + period])]
+                    at = start + times * period
+            t = "".join([*out, s[at:]])
+            if period == 1 or t != s:
+                for c in sorted({c for c in t if c >= "\U00060000"}):
+                    g = table.node[c]
+                    if g.many:
+                        body = re.escape("".join(table.of(x) for x in g.body))
+                        t = re.sub(f"(?:{body})*{c}(?:{body}|{c})*", c, t)
+                s = t
+            period += 1
     return [table.node[c] for c in s]
 
 
@@ -353,16 +378,18 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made: dict[str, Wrapper] = {}
     for batch in batches:
         rows = []
-        for page_id, host, symbols, texts, wrapper in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "symbols", "texts", "wrapper"))):
+        for uid, page_id, host, symbols, texts, wrapper in zip(*(batch.column(c).to_pylist() for c in ("uid", "page_id", "host", "symbols", "texts", "wrapper"))):
             if wrapper not in made:
                 if len(made) > 1_000:
                     made.clear()
                 made[wrapper] = Wrapper(load(wrapper))
             slots = made[wrapper].match(symbols)
-            rows.append((page_id, host, slots is not None, slots or [-1] * len(texts), contexts(symbols), texts))
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["page_id", "host", "fits", "slots", "places", "texts"])
+            seen: set[int] = set()
+            first = [0 if s in seen else seen.add(s) or 1 for s in slots or [-1] * len(texts)]
+            rows.append((uid, page_id, host, slots is not None, slots or [-1] * len(texts), first, contexts(symbols), texts))
+        cols = list(zip(*rows)) or [[]] * 8
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["uid", "page_id", "host", "fits", "slots", "first", "places", "texts"])
 
 
 def wrappers(parsed: DataFrame, fan: int = FAN) -> DataFrame:
@@ -386,27 +413,34 @@ def _infer_group(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [f["host"].iloc[0]], "shape": [infer(f["shape"].tolist())]})
 
 
-def extracted(pages: DataFrame, fan: int = FAN) -> DataFrame:
+def extracted(pages: DataFrame, fan: int = FAN, share: float = SHARE) -> DataFrame:
     """(page_id, host, fits, title, text): each page's texts that its host's wrapper has a variable slot for.
 
-    A host's pages become streams of tags and texts; tandem repeats become groups that repeat. The distinct streams of a host are aligned one
-    after another: what doesn't match becomes optional groups, what is found once and repeated elsewhere joins the group that repeats, and
-    texts become slots. All pages take part; the outcome doesn't depend on their order. A slot whose text is the same on all the
-    pages that have it, two at least that aren't copies (pages of the same texts), is the template's and is left out, as are texts in navigation, footers, asides, menus, buttons and
-    selections that their own end tags close. A page that
-    the finished wrapper doesn't take (fits is false) gives all of its texts but those in such places.
+    A host's pages become streams of tags and texts; tandem repeats, of any length, become groups that repeat. The distinct streams of a
+    host are aligned one after another: what doesn't match becomes optional groups, what is found once and repeated elsewhere joins the
+    group that repeats, and texts become slots. All pages take part; the outcome doesn't depend on their order. A slot that has one and the
+    same text wherever it is, on more than ``share`` of the host's distinct pages and two at least, is the template's and is left out, as
+    are texts in navigation, footers, asides, menus, buttons and selections that their own end tags close. Pages of the same texts count as
+    one. A page that the finished wrapper doesn't take (fits is false) gives all of its texts but those in such places.
 
     Nulls: null or empty html gives null title and empty text; null or odd urls are one host "". A null page_id is kept. Repeated rows and
-    copies under other page_ids count as one page when constant slots are looked for; each has its own row. An empty table gives an empty result. Pages of any length are
-    parsed whole; comments and scripts that aren't closed end with the
-    page, elements that aren't closed enclose nothing. Other columns are ignored.
+    pages crawled again under other page_ids count as one page when constant slots are looked for; each has its own row. An empty table
+    gives an empty result. Pages of any length are parsed whole; comments and scripts that aren't closed end with the page, tags that aren't
+    closed are text, elements that aren't closed enclose nothing. Other columns are ignored.
     """
-    parsed = scratch_table(only(pages, "page_id", "url", "html").mapInArrow(_parse, "page_id long, host string, symbols array<string>, texts array<string>, shape string"), "html-streams")
+    streams = only(pages, "page_id", "url", "html").mapInArrow(_parse, "page_id long, host string, symbols array<string>, texts array<string>, shape string")
+    parsed = scratch_table(streams.withColumn("uid", F.monotonically_increasing_id()), "html-streams")
     made = wrappers(parsed, fan)
-    slotted = parsed.drop("shape").join(checked_broadcast(made, 100_000), "host").mapInArrow(_assign, "page_id long, host string, fits boolean, slots array<int>, places array<string>, texts array<string>")
-    each = slotted.filter("fits").select("host", F.xxhash64("texts").alias("copy"), F.explode(F.arrays_zip("slots", "texts")).alias("s"))
+    slotted = parsed.drop("shape").join(checked_broadcast(made, 100_000), "host").mapInArrow(_assign, "uid long, page_id long, host string, fits boolean, slots array<int>, first array<int>, places array<string>, texts array<string>")
+    copy = F.xxhash64("texts").alias("copy")
+    alike = cut(parsed.select("host", copy, "uid").groupBy("host", "copy").agg(F.min("uid").alias("stands"), F.count(F.lit(1)).alias("n")))
+    of_host = cut(alike.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
+    again = cut(alike.filter("n > 1").select("host", "copy", "stands"))
+    each = slotted.filter("fits").select("host", copy, "uid", "slots", "first", "texts").join(checked_broadcast(again), ["host", "copy"], "left").filter("stands IS NULL OR stands = uid")
+    each = each.select("host", F.explode(F.arrays_zip("slots", "first", "texts")).alias("s"))
     h = F.xxhash64("s.texts")
-    same = each.groupBy("host", F.col("s.slots").alias("slot")).agg(F.min(h).alias("a"), F.max(h).alias("b"), F.min("copy").alias("p"), F.max("copy").alias("q")).filter("a = b AND p <> q")
+    slots = each.groupBy("host", F.col("s.slots").alias("slot")).agg(F.min(h).alias("a"), F.max(h).alias("b"), F.sum("s.first").alias("on")).filter("a = b AND on > 1")
+    same = slots.join(checked_broadcast(of_host, 100_000), "host").filter(F.col("on") > F.lit(share) * F.col("pages"))
     constant = cut(same.groupBy("host").agg(F.collect_list("slot").alias("constant")))
     out = slotted.join(checked_broadcast(constant, 100_000), "host", "left").withColumn("z", F.arrays_zip("slots", "places", "texts"))
     of = lambda place: F.transform(F.filter("z", lambda x: (x["places"] == place) & (F.col("constant").isNull() | ~F.array_contains(F.col("constant"), x["slots"]))), lambda x: x["texts"])
