@@ -6,12 +6,13 @@ import subprocess
 import sys
 
 import pytest
-from packets import DST, MIXED, MULTI, PORT, QRY, SPORT, SRC, TIME, UDP, capture, tcp
+from packets import DST, MIXED, MULTI, PORT, QRY, SPORT, SRC, TIME, UDP, capture, ethernet, ipv4, tcp
 from pyspark.errors import PySparkException
 
-from wirelake.errors import DissectorError, DissectorNotFoundError
+from wirelake.errors import DissectorError, DissectorNotFoundError, FieldNotDissectedError
 from wirelake.expr import FieldRef
 from wirelake.ftypes import decode
+from wirelake.protocols import IP, TCP
 from wirelake.sources import ek_json, process
 from wirelake.sources.capture import Capture, Dumped, Program, needs, with_values
 from wirelake.sources.fields_text import raw_fields, read_fields_text
@@ -87,10 +88,82 @@ def test_several_questions(spark, tmp_path):
     two = needs(UDP)(lambda p: p["udp.port"] == ("50002", "53") and not p.get("tcp.port"))
     assert frames(c.filter(PORT.present() | UDP.present(), two).raw([NUMBER])) == [2]
     with pytest.raises(PySparkException, match="wasn't read"):
-        c.filter(lambda p: p["ip.ttl"]).raw([NUMBER]).collect()
+        c.filter(needs(UDP)(lambda p: p["ip.ttl"])).raw([NUMBER]).collect()
+    assert frames(c.filter(lambda p: p["ip.ttl"] == ("64",) and p["ip.proto"] == ("6",)).raw([NUMBER])) == [3]  # the whole packet
     assert c.filter(QRY == "gamma.example", lambda p: p["tcp.port"] == ()).select(NUMBER, PORT, QRY).collect()[0][2] == ["gamma.example"]
 
 
+def test_unknown_fields_are_refused(spark, tmp_path):
+    path = capture(tmp_path / "mixed.pcap", MIXED)
+    for ask in (lambda: read_pcap(spark, path, ["ip.src", "quic.version"]), lambda: Capture(spark, path).select(FieldRef("quic.version")), lambda: Capture(spark, path).filter(FieldRef("quic.version").present()).raw([NUMBER]), lambda: Capture(spark, path).filter(~FieldRef("quic.version").present()).raw([NUMBER])):
+        with pytest.raises(FieldNotDissectedError, match="quic.version"):
+            ask()
+
+
+def test_typed_values_of_a_whole_packet(spark, tmp_path):
+    path = capture(tmp_path / "mixed.pcap", MIXED)
+    got = [(p[TCP].srcport, p[TCP].port, str(p[IP].src)) for p in Capture(spark, path).packets(TCP.srcport, TCP.port, IP.src)][:2]
+    assert got == [(51234, (51234, 443), "10.0.0.1"), (443, (443, 51234), "10.0.0.2")]
+    seen = Capture(spark, path).filter(lambda p: p[TCP].flags_ack).raw([NUMBER])
+    assert frames(seen) == [2]
+
+
+def hello(name):
+    server = struct.pack(">HBH", len(name) + 3, 0, len(name)) + name.encode()
+    extensions = struct.pack(">HH", 43, 1) + b"\x00" + struct.pack(">HH", 0, len(server)) + server
+    body = b"\x03\x03" + bytes(32) + b"\x04abcd" + struct.pack(">H", 2) + b"\x13\x01" + b"\x01\x00" + struct.pack(">H", len(extensions)) + extensions
+    return b"\x16\x03\x01" + struct.pack(">H", len(body) + 4) + b"\x01" + len(body).to_bytes(3, "big") + body
+
+
+def test_upper_layers(spark, tmp_path):
+    request = b"GET /x?q=1 HTTP/1.1\r\nHost: a.example\r\nUser-Agent: me\r\n\r\n"
+    answer = b"HTTP/1.1 404 Not Found\r\nContent-Length: 0\r\n\r\n"
+    echo = ipv4("10.0.0.1", "10.0.0.2", 1, struct.pack(">BBHHH", 8, 0, 0x1234, 7, 9))
+    six = ethernet(0x86DD, struct.pack(">IHBB", 0x60000000, 8, 58, 64) + bytes(15) + b"\x01" + bytes(15) + b"\x02" + struct.pack(">BBHI", 128, 0, 0xABCD, 0))
+    path = capture(tmp_path / "up.pcap", [tcp("10.0.0.1", 1000, "10.0.0.2", 80, 24, request), tcp("10.0.0.2", 80, "10.0.0.1", 1000, 24, answer), tcp("10.0.0.1", 1001, "10.0.0.2", 443, 24, hello("tls.example")), echo, six])
+    names = ["http.host", "http.request.method", "http.request.uri", "http.response.code", "http.user_agent", "tls.handshake.extensions_server_name", "tls.record.version", "icmp.type", "icmp.seq", "icmpv6.type", "ip.checksum", "tcp.checksum", "ip.flags.df", "tcp.hdr_len"]
+    rows = [{n: r[n] for n in names if r[n]} for r in read_pcap(spark, path, names).collect()]
+    checks = [r.pop("ip.checksum", None) for r in rows]
+    tails = [{k: r.pop(k, None) for k in ("ip.flags.df", "tcp.hdr_len", "tcp.checksum")} for r in rows]
+    assert rows == [
+        {"http.host": ["a.example"], "http.request.method": ["GET"], "http.request.uri": ["/x?q=1"], "http.user_agent": ["me"]}, {"http.response.code": ["404"]},
+        {"tls.handshake.extensions_server_name": ["tls.example"], "tls.record.version": ["0x0301"]}, {"icmp.type": ["8"], "icmp.seq": ["9"]}, {"icmpv6.type": ["128"]},
+    ]
+    assert all(c and c[0].startswith("0x") for c in checks[:4]) and checks[4] is None
+    assert tails[0] == {"ip.flags.df": ["0"], "tcp.hdr_len": ["20"], "tcp.checksum": ["0x0000"]}
+
+
+def test_streams_opened_again_and_relative_numbers(spark, tmp_path):
+    def segment(seq, ack, flags, back=False):
+        a, b = ("10.0.0.2", 80), ("10.0.0.1", 1000)
+        (src, sport), (dst, dport) = (a, b) if back else (b, a)
+        return ipv4(src, dst, 6, struct.pack(">HHIIHHHH", sport, dport, seq, ack, 5 << 12 | flags, 1, 0, 0))
+
+    path = capture(tmp_path / "s.pcap", [segment(100, 0, 2), segment(900, 101, 18, True), segment(101, 901, 16), segment(100, 0, 2), segment(5000, 0, 2), segment(70, 5001, 18, True)])
+    rows = read_pcap(spark, path, ["tcp.stream", "tcp.seq", "tcp.ack", "tcp.seq_raw"]).collect()
+    assert [tuple(x[0] for x in r) for r in rows] == [("0", "0", "0", "100"), ("0", "0", "1", "900"), ("0", "1", "1", "101"), ("0", "0", "0", "100"), ("1", "0", "0", "5000"), ("1", "0", "1", "70")]
+
+
+def block(kind, body, end="<"):
+    body += bytes(-len(body) % 4)
+    return struct.pack(end + "II", kind, len(body) + 12) + body + struct.pack(end + "I", len(body) + 12)
+
+
+@pytest.mark.parametrize("end", ["<", ">"])
+def test_pcapng(spark, tmp_path, end):
+    section = block(0x0A0D0D0A, struct.pack(end + "IHHq", 0x1A2B3C4D, 1, 0, -1), end)
+    nano = struct.pack(end + "HH", 9, 1) + b"\x09\0\0\0" + struct.pack(end + "HH", 0, 0)
+    interfaces = block(1, struct.pack(end + "HHI", 1, 0, 0), end) + block(1, struct.pack(end + "HHI", 1, 0, 0) + nano, end)
+    packet = lambda which, ticks, data: block(6, struct.pack(end + "IIIII", which, ticks >> 32, ticks & 0xFFFFFFFF, len(data), len(data)) + data, end)
+    path = tmp_path / "a.pcapng"
+    path.write_bytes(section + interfaces + packet(0, 1_700_000_100_000_007, MIXED[0]) + block(5, bytes(12), end) + packet(1, 1_700_000_101_000_008_000, MIXED[1]) + block(3, struct.pack(end + "I", len(MIXED[3])) + MIXED[3], end) + packet(0, 1, MIXED[2])[:-9])
+    rows = read_pcap(spark, str(path), ["frame.number", "frame.time_epoch", "tcp.port", "dns.qry.name"]).collect()
+    assert [tuple(map(tuple, r)) for r in rows] == [(("1",), ("1700000100.000007000",), ("51234", "443"), ()), (("2",), ("1700000101.000008000",), ("443", "51234"), ()), (("3",), ("0.000000000",), (), ("mixed.example",))]
+    (tmp_path / "bad.pcapng").write_bytes(section + packet(3, 1, MIXED[0]))
+    with pytest.raises(PySparkException, match="interface 3"):
+        read_pcap(spark, str(tmp_path / "bad.pcapng"), ["frame.number"]).collect()
+
+
 def test_odd_captures(spark, tmp_path):
     (tmp_path / "d").mkdir()
     assert read_pcap(spark, str(tmp_path / "d"), ["frame.number"]).count() == 0

@@ -1,6 +1,6 @@
 import json
 from dataclasses import replace
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import duckdb
 import pyarrow.parquet as pq
@@ -263,21 +263,57 @@ def test_export_and_compact(spark, ws, tmp_path):
     (tmp_path / "t.txt").write_text("1\x1f1.000001\x1fffff::1\x1f1.000001\x1f80\x1e81\n2\x1f2.0\x1f\x1f\x1f\n")
     ws.materialize(str(tmp_path / "t.txt"), [six, rtt], dissector=Dumped(str(tmp_path / "t.txt"), refs))
     ws.materialize(str(tmp_path / "t.txt"), [PORT], dissector=Dumped(str(tmp_path / "t.txt"), refs))
-    out = ws.export_parquet("pkts", str(tmp_path / "out.parquet"))
+    out = ws.export_parquet("pkts", str(tmp_path / "out.parquet"), single_file=True)
     t = pq.read_table(out).sort_by("frame_number").to_pylist()
     assert t[0]["ipv6_src"] == str(int.from_bytes(bytes.fromhex("ffff" + "00" * 12 + "0001"), "big")) and t[0]["tcp_rtt"] == "00:00:01.000001" and t[0]["tcp_port"] == [80, 81] and t[1]["tcp_port"] == []
     assert duckdb.sql(f"SELECT count(*) FROM '{out}'").fetchall() == [(2,)]
-    ws.export_parquet("streams", out)  # replaces
+    ws.export_parquet("streams", out, single_file=True)  # replaces
     assert pq.read_table(out).num_rows == 0 and not [p for p in tmp_path.iterdir() if p.name.startswith(".out")]
     for table, path, error in (("meta", out, ValueError), ("pkts", ws.path + "/x.parquet", WorkspaceError), ("pkts", ws.path, WorkspaceError)):
         with pytest.raises(error):
             ws.export_parquet(table, path)
     rows = ws.query().dataframe().collect()
-    ws.compact()
+    with ws.read() as held:
+        before = held.query().dataframe(False)
+        ws.compact()
+        assert sorted(before.collect()) == sorted(rows)  # its files are still there
+        assert held.catalog.number < ws.catalog.number
+    assert len([n for n in ws.files.names() if n.startswith("pkts-")]) > 1
+    ws.compact(keep=timedelta(0))
     assert ws.query().dataframe().collect() == rows and len([n for n in ws.files.names() if n.startswith("pkts-")]) == 1 and len([n for n in ws.files.names() if n.startswith("catalog-")]) == 1
     assert [str(r.get(six)) for r in ws.query().filter(six > "::")] == ["ffff::1"]
 
 
+def test_a_failed_export_leaves_the_old_one(ws, mixed, tmp_path, monkeypatch):
+    from wirelake.workspace.files import Files
+
+    ws.materialize(mixed, [SRC])
+    for single in (True, False):
+        out = ws.export_parquet("pkts", str(tmp_path / f"old{single}"), single_file=single)
+        with monkeypatch.context() as m:
+
+            def fail(self, old, new, rename=Files.rename):
+                if "-old-" not in new and "-old-" not in old:
+                    raise OSError("killed")
+                rename(self, old, new)
+
+            m.setattr(Files, "rename", fail)
+            m.setattr(Files, "put_over", fail)
+            with pytest.raises(OSError, match="killed"):
+                ws.export_parquet("streams", out, single_file=single)
+        assert pq.read_table(out).num_rows == 5 and not [p for p in tmp_path.iterdir() if p.name.startswith(".old")]
+
+
+def test_reading_and_writing_by_sql(ws, mixed):
+    assert ws.materialize(mixed, [SRC, PORT]).batch_count >= 1
+    with ws.read() as held:
+        with ws.write() as change:
+            change.put("pkts", change.sql("SELECT * FROM pkts WHERE frame_number < ?", [3]))
+        assert held.query().dataframe().count() == 5 and ws.query().dataframe().count() == 2
+        with pytest.raises(WorkspaceModeError):
+            held.materialize(mixed, [SRC])
+
+
 def test_names():
     assert [column_name(x) for x in ("ip.src", "HTTP2.é-x", "6lowpan.a")] == ["ip_src", "http2___x", "f_6lowpan_a"]
     assert collisions(["a.b", "a-b", "c"]) == {"a_b": ["a-b", "a.b"]}

@@ -15,6 +15,10 @@ class FieldNotProjectedError(LookupError):
     """A row was asked for a field that its reader didn't project."""
 
 
+class FieldNotDissectedError(LookupError):
+    """A dissector was asked for a field that it doesn't know, so that its absence would say nothing."""
+
+
 class DissectorError(RuntimeError):
     """The dissector process failed."""
 

@@ -14,13 +14,15 @@ from wirelake.protocols.catalog import attribute, module_name, read_catalog
 
 
 class Protocol:
-    """Fields as attributes; ``TCP(packet)`` reads the typed values of a raw packet (field name to occurrences)."""
+    """Fields as attributes; ``packet[TCP]`` or ``TCP(packet)`` reads the typed values of a raw packet (field name to occurrences)."""
 
     def __init__(self, abbrev: str, title: str, table: dict[str, tuple[str, str, bool]]):
         self._abbrev, self._title, self._table = abbrev, title, table
 
     def __getattr__(self, name: str) -> FieldRef:
-        if name.startswith("_") or name not in self._table:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._table:
             raise AttributeError(f"{self._abbrev} has no field {name!r}")
         ref = FieldRef(*self._table[name])
         self.__dict__[name] = ref

@@ -16,7 +16,7 @@ from wirelake.ftypes import field_type, occurrences
 from wirelake.plans.columns import compile_column
 from wirelake.plans.planner import Plan, make_plan
 from wirelake.sources import ek_json, fields_text, process
-from wirelake.sources.pcap import read_pcap
+from wirelake.sources.pcap import FIELDS, check_fields, read_pcap
 from wirelake.sources.program import run_program
 
 
@@ -54,9 +54,11 @@ def _all_occurrences(e: Expr) -> Expr:
 
 
 class RawPacket(dict):
-    """Field names to raw occurrences; asking for a field that wasn't read is an error, not an absence."""
+    """Field names to raw occurrences, and a protocol to its typed values (``packet[TCP].port``); asking for a field that wasn't read is an error, not an absence."""
 
-    def __missing__(self, name: str):
+    def __missing__(self, name):
+        if not isinstance(name, str) and callable(name):
+            return name(self)
         raise FieldNotProjectedError(f"{name} wasn't read; a predicate names the fields it looks at with needs(...)")
 
     def get(self, name: str, default=()):
@@ -77,6 +79,10 @@ def needs(*fields: FieldRef) -> Callable[[Callable], Callable]:
 class BuiltIn:
     """The dissector in Python of ``sources.pcap``; what would be pushed to a program is filtered in Spark."""
 
+    def everything(self) -> tuple[FieldRef, ...]:
+        """All fields it has, as a predicate that names none sees them."""
+        return tuple(FieldRef(n, "FT_STRING", True) for n in sorted(FIELDS))
+
     def version(self) -> str:
         from wirelake import __version__
 
@@ -87,6 +93,7 @@ class BuiltIn:
 
     def scan(self, spark: SparkSession, capture: str, display: str | None, pushed: Sequence[Expr], refs: Sequence[FieldRef]) -> DataFrame:
         names = list(dict.fromkeys([*(r.name for r in refs), *(f.name for e in pushed for f in field_refs(e))]))
+        check_fields(names)
         return filter_raw(read_pcap(spark, capture, names), pushed).select(*[f"`{r.name}`" for r in refs])
 
 
@@ -145,9 +152,14 @@ class Capture:
         return make_plan(self.terms, select)
 
     def raw(self, select: Sequence[FieldRef]) -> DataFrame:
-        """Raw columns of ``select`` after all terms; predicates see these fields, those that the expressions name and those of ``needs``."""
+        """Raw columns of ``select`` after all terms.
+
+        Predicates see these fields, those that the expressions name, and those of ``needs``; one without ``needs`` sees the whole packet, as
+        far as the dissector can tell what that is (``everything``). ``needs`` saves dissecting what isn't looked at.
+        """
         plan = self.plan(select)
-        seen = [f for t in self.terms for f in (field_refs(t) if isinstance(t, Expr) else getattr(t, "reads", ()))] if plan.opaque else []
+        everything = getattr(self.dissector, "everything", lambda: ())
+        seen = [f for t in self.terms for f in (field_refs(t) if isinstance(t, Expr) else t.reads if hasattr(t, "reads") else everything())] if plan.opaque else []
         refs = list({r.name: r for r in [*select, *(f for e in plan.residual for f in field_refs(e)), *seen]}.values())
         df = filter_raw(self.dissector.scan(self.spark, self.path, plan.display, plan.pushed, refs), plan.residual)
         if plan.opaque:

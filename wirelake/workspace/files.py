@@ -52,16 +52,27 @@ class Files:
         """At every moment readers find the old or the new text."""
         self.delete(f".{name}.new")
         self.create(f".{name}.new", text)
+        self.put_over(f".{name}.new", name)
+
+    def put_over(self, old: str, new: str) -> None:
+        """Rename a file over another: at every moment there is the one or the other."""
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
         option = self.jvm.org.apache.hadoop.fs.Options.Rename
         gateway = self.jvm
         options = gateway_array(gateway, option.OVERWRITE)
-        context.rename(self.path(f".{name}.new"), self.path(name), options)
+        context.rename(self.path(old), self.path(new), options)
 
     def rename(self, old: str, new: str) -> None:
         if not self.fs.rename(self.path(old), self.path(new)):
             raise OSError(f"{old} can't become {new}")
 
+    def is_folder(self, name: str) -> bool:
+        return self.exists(name) and self.fs.getFileStatus(self.path(name)).isDirectory()
+
+    def changed(self, name: str) -> float:
+        """When a file was last written, in seconds since 1970."""
+        return self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 

@@ -6,13 +6,14 @@ end without locks; a change that fails leaves nothing behind. One writer at a ti
 
 from __future__ import annotations
 
+import copy
 import os
 import re
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ _RESERVED = ("main", "temp", "system")
 
 @dataclass(frozen=True)
 class MaterializeResult:
-    """``outcome``: materialized, hit or backfilled."""
+    """``outcome``: materialized, hit or backfilled; ``batch_count``: the batches written, one for each task that wrote rows."""
 
     outcome: str
     row_count: int
@@ -49,6 +50,7 @@ class MaterializeResult:
     display: str | None
     fields: tuple[FieldRecord, ...]
     added_fields: tuple[FieldRecord, ...]
+    batch_count: int = 0
 
 
 @dataclass(frozen=True)
@@ -83,6 +85,7 @@ class Workspace:
         self.files = Files(spark, self.path)
         self.attached: dict[str, Workspace] = {}
         self._busy = False
+        self._held: Catalog | None = None
         self._read: tuple[str, Catalog] | None = None
         self._frames: dict[tuple[str, str, str], DataFrame] = {}
         if not self.files.exists("CURRENT"):
@@ -106,12 +109,21 @@ class Workspace:
 
     @property
     def catalog(self) -> Catalog:
-        """The current version's; a version's text doesn't change, so it is read once."""
+        """The current version's, or the one that ``read`` holds; a version's text doesn't change, so it is read once."""
+        if self._held is not None:
+            return self._held
         name = self.files.read("CURRENT").strip()
         if self._read is None or self._read[0] != name:
             self._read = name, Catalog.load(self.files.read(name))
         return self._read[1]
 
+    @contextmanager
+    def read(self) -> Iterator[Workspace]:
+        """The workspace at its current version: what others write meanwhile isn't seen, in however many queries."""
+        held = copy.copy(self)
+        held._held, held.mode = self.catalog, "ro"
+        yield held
+
     @contextmanager
     def write(self) -> Iterator[_Change]:
         """A change of the workspace: all of it is published at the end, or nothing if it fails."""
@@ -203,7 +215,7 @@ class Workspace:
         df = raw.select(_stored(_NUMBER, "frame_number"), _stored(_TIME, "frame_time"), *[_stored(r, f.column_name) for r, f in zip(new.values(), records)])
         change.put("pkts", df)
         change.catalog = change.catalog.with_(fields=records, keys=(key,))
-        return MaterializeResult("materialized", self.table("pkts", change.catalog).count(), key, display, records, records)
+        return MaterializeResult("materialized", self.table("pkts", change.catalog).count(), key, display, records, records, change.batches("pkts"))
 
     def _again(self, change, capture, asked, new, display, pushed, dissector) -> MaterializeResult:
         c = change.catalog
@@ -239,7 +251,7 @@ class Workspace:
         change.put("pkts", pkts.join(scan, "frame_number", "left").select(*pkts.columns, *[f.column_name for f in records]))
         everything = tuple(sorted((*c.fields, *records), key=lambda f: f.abbrev))
         change.catalog = change.catalog.with_(fields=everything, keys=(key,))
-        return MaterializeResult("backfilled", scan.count(), key, display, everything, records)
+        return MaterializeResult("backfilled", scan.count(), key, display, everything, records, change.batches("pkts"))
 
     def _sound(self, c: Catalog, key: CacheKey) -> None:
         claimed, known = {n for n in key.fields if n not in KEY_FIELDS}, {f.abbrev for f in c.fields}
@@ -349,8 +361,12 @@ class Workspace:
 
     # export, compaction
 
-    def export_parquet(self, table: str, path: str, single_file: bool = True) -> str:
-        """A table as Parquet that any engine reads: IPv6 addresses as decimal text, intervals as text. ``single_file``: one file, else a folder."""
+    def export_parquet(self, table: str, path: str, single_file: bool = False) -> str:
+        """A table as Parquet that any engine reads: IPv6 addresses as decimal text, intervals as text.
+
+        A folder of as many files as tasks write, or with ``single_file`` one file, which one task writes. What was there under ``path``
+        stays until the new export is whole: a file is replaced at once; a folder is put aside, and deleted when the new one has its name.
+        """
         if table not in TABLES:
             raise ValueError(f"{table!r} isn't one of {TABLES}")
         path = os.fspath(path)
@@ -360,23 +376,33 @@ class Workspace:
         df = _portable(self.table(table, c), {f.column_name: f for f in c.fields} if table == "pkts" else {})
         folder, _, name = path.rpartition("/")
         out = Files(self.spark, folder or ".")
-        passing = f".{name}-{uuid.uuid4().hex}"
+        passing, aside = f".{name}-{uuid.uuid4().hex}", f".{name}-old-{uuid.uuid4().hex}"
         try:
             (df.coalesce(1) if single_file else df).write.parquet(f"{out.root}/{passing}")
             made = Files(self.spark, f"{out.root}/{passing}")
-            if out.exists(name):
-                out.delete(name)
-            if single_file:
-                out.rename(f"{passing}/{next(n for n in made.names() if n.endswith('.parquet'))}", name)
+            new = f"{passing}/{next(n for n in made.names() if n.endswith('.parquet'))}" if single_file else passing
+            if single_file and out.exists(name) and not out.is_folder(name):
+                out.put_over(new, name)
+            elif out.exists(name):
+                out.rename(name, aside)
+                try:
+                    out.rename(new, name)
+                except BaseException:
+                    out.rename(aside, name)
+                    raise
+                out.delete(aside)
             else:
-                out.rename(passing, name)
+                out.rename(new, name)
         finally:
             out.delete(passing)
             out.delete(f".{name}.crc")  # local file systems' checksums
         return path
 
-    def compact(self, rows_per_file: int = 5_000_000) -> None:
-        """Rewrite the tables into full files, the packets sorted by frame number, and delete versions that aren't current."""
+    def compact(self, rows_per_file: int = 5_000_000, keep: timedelta = timedelta(days=1)) -> None:
+        """Rewrite the tables into full files, the packets sorted by frame number, and delete versions that are no longer read.
+
+        Versions stay for ``keep`` after another took their place, so readers that began before have their files until then.
+        """
         with self.write() as change:
             for t in list(change.catalog.tables):
                 df = self.table(t, change.catalog)
@@ -386,10 +412,14 @@ class Workspace:
                     df = df.coalesce(max(1, -(-df.count() // rows_per_file)))
                 change.put(t, df)
         self._frames.clear()
-        c = self.catalog
-        keep = {"CURRENT", "LOCK", self.files.read("CURRENT").strip(), *c.tables.values()}
-        for n in self.files.names():
-            if n not in keep and re.fullmatch(r"catalog-\d+\.json|(?:pkts|streams|annotations|stage)-[0-9a-f]+", n):
+        names = self.files.names()
+        current = self.files.read("CURRENT").strip()
+        catalogs = [n for n in names if re.fullmatch(r"catalog-\d+\.json", n)]
+        until = datetime.now(UTC).timestamp() - keep.total_seconds()
+        stay = {n for n, after in zip(catalogs, [*catalogs[1:], None]) if n == current or after is None or self.files.changed(after) > until}
+        used = {folder for n in stay for folder in Catalog.load(self.files.read(n)).tables.values()}
+        for n in names:
+            if n not in stay | used and re.fullmatch(r"catalog-\d+\.json|(?:pkts|streams|annotations|stage)-[0-9a-f]+", n):
                 self.files.delete(n)
 
 
@@ -408,6 +438,16 @@ class _Change:
     def put(self, table: str, df: DataFrame) -> None:
         self.catalog = self.catalog.with_(tables=self.catalog.tables | {table: self._write(df, table)})
 
+    def batches(self, table: str) -> int:
+        """The files that a table of this change has."""
+        return sum(n.endswith(".parquet") for n in Files(self.ws.spark, f"{self.ws.files.root}/{self.catalog.tables[table]}").names())
+
+    def sql(self, text: str, args: Sequence | None = None) -> DataFrame:
+        """Spark SQL over the tables as this change has them so far; ``put`` writes what it gives."""
+        for t in TABLES:
+            self.ws.table(t, self.catalog).createOrReplaceTempView(t)
+        return self.ws.spark.sql(text, args=list(args)) if args else self.ws.spark.sql(text)
+
     def stage(self, df: DataFrame) -> DataFrame:
         """Written once, so a dissector runs once."""
         return self.ws.spark.read.schema(df.schema).parquet(f"{self.ws.files.root}/{self._write(df, 'stage')}")
