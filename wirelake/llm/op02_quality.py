@@ -23,7 +23,7 @@ TOLERANCE = 1e-3
 STATS = ("upper", "symbols", "word_length", "repeats", "stops", "variety")
 _P = len(STATS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
-_RES = 32
+_RES = 16
 #: Estimates that may be broadcast, some 500 bytes each.
 _FITS = 100_000
 #: What all documents' estimate is pooled with: usual prose, wide.
@@ -192,7 +192,7 @@ def mcd(rows: DataFrame, support: float = SUPPORT, floor: float = FLOOR, toleran
 
     From two deterministic starts, concentration steps each keep the ``support`` share of a fit's vectors that are nearest by
     Mahalanobis distance and estimate mean and covariance anew, until no determinant falls any more; the start of lesser determinant wins
-    and is reweighted once. All vectors take part in every step, in one pass: sums by 1/32 octave of the distance, of which the nearest
+    and is reweighted once. All vectors take part in every step, in one pass: sums by 1/16 octave of the distance, of which the nearest
     octaves are added up, so ties are taken in together.
     """
     q = [F.percentile_approx(f"x{k}", 0.5, 10_000).alias(f"m{k}") for k in range(_P)]
