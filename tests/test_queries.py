@@ -9,9 +9,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wirelake.queries import PAIRS
+from wirelake import capture_queries, queries
 
 SF = os.environ.get("WIRELAKE_SF", "/root/testdata/sf0.001")
+PAIRS = queries.PAIRS | capture_queries.PAIRS
 ROOT = Path(__file__).resolve().parents[1]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelake import capture_queries
 from wirelake.binding import Query, query_over
 from wirelake.expr import FieldRef
 from wirelake.ftypes import from_text, interval_text
@@ -106,35 +107,6 @@ def _repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
     return keysets.duplicates(li, "frame_number", 5).select("frame_number")
 
 
-def _repeated_lists(spark: SparkSession, sf: str) -> DataFrame:
-    li = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    g = li.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("l_partkey")).alias("parts"), F.count_if(F.col("l_partkey") > 100).alias("high")).filter("n > 1")
-    return g.select("l_orderkey", "l_linenumber", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"), "high")
-
-
-def _lonely_customers(spark: SparkSession, sf: str) -> DataFrame:
-    o = _table(spark, sf, "orders").select("o_custkey")
-    c = _table(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
-    return o.join(c, "o_custkey", "left_anti").agg(F.countDistinct("o_custkey").alias("n"))
-
-
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Counted on both sides before they are joined: as many rows as users meet, not as many as pairs."""
-    n = lambda kind, name: events(spark, sf).filter(TYPE == kind).select(USER).dataframe(False).groupBy("user").agg(F.count(F.lit(1)).alias(name))
-    return n("click", "a").join(n("purchase", "b"), "user").select(F.col("user").alias("user_id"), (F.col("a") * F.col("b")).alias("pairs"))
-
-
-def _joined_back(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf).filter(TYPE == "click").select(USER).dataframe(False)
-    return e.join(e.groupBy("user").agg(F.count(F.lit(1)).alias("pkt_count")), "user").select("frame_number", "pkt_count")
-
-
-def _backfill(spark: SparkSession, sf: str) -> DataFrame:
-    d = _table(spark, sf, "documents").select(F.col("doc_id").alias("frame_number"), "lang")
-    s = _table(spark, sf, "labels").groupBy(F.col("doc_id").alias("frame_number")).agg(F.min("quality").alias("quality"))
-    return d.join(s, "frame_number", "left").select("frame_number", "lang", "quality")
-
-
 def _drift(spark: SparkSession, sf: str) -> DataFrame:
     return keysets.missing(_table(spark, sf, "documents").select("doc_id"), _table(spark, sf, "labels").select("doc_id"), "doc_id", 5)
 
@@ -274,7 +246,6 @@ PAIRS: dict[str, PairOf] = {
     "flt_matches_ascii": (_over("part", "p_partkey", ((NAME, "p_name"),), NAME.matches("^(?:RED|blue) w")), "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^(?:RED|blue) w', 'i')"),
     "flt_not_matches": (_over("pages", "page_id", ((URL, "url"),), ~URL.matches("^https?://m[.][a-z]{2,}")), "SELECT page_id FROM pages WHERE NOT coalesce(regexp_matches(url, '^https?://m[.][a-z]{2,}', 'i'), FALSE)"),
     "flt_matches_multi": (_over("part", "p_partkey", _WORDS, WORDS.matches("^w[a-z]+t$")), "SELECT p_partkey FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) WHERE len(list_filter(w, lambda x: regexp_matches(x, '^w[a-z]+t$', 'i'))) > 0"),
-    "flt_matches_bytes": (_over("documents", "doc_id", ((TEXT, "text"),), TEXT.matches(r"[\s\S]{2000}")), "SELECT doc_id FROM documents WHERE strlen(text) >= 2000"),
     "flt_matches_deep": (_over("documents", "doc_id", ((TEXT, "text"),), TEXT.matches(r"(?:.|\n){2000}")), "SELECT doc_id FROM documents WHERE strlen(text) >= 2000"),
     "flt_sql_text": (_sql_text, _EV + "SELECT frame_number, user_id FROM ev WHERE (event_type = 'click' OR NOT coalesce(nan_value > 50 AND NOT isnan(nan_value), FALSE)) AND len(ui_port) > 0"),
     "prj_first_occurrence": (_first_port, _EV + "SELECT frame_number, ui_port[1] AS first_port FROM ev"),
@@ -283,11 +254,6 @@ PAIRS: dict[str, PairOf] = {
     "agg_stream_duration": (_durations, _EV + "SELECT user_id, CAST(epoch_us(max(frame_time)) - epoch_us(min(frame_time)) AS BIGINT) AS duration_us FROM ev GROUP BY 1"),
     "agg_interval": (_interval_mean, _interval_sql()),
     "agg_dup_keys_topk": (_repeated_keys, "SELECT l_orderkey * 10 + l_linenumber AS frame_number FROM lineitem GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 5"),
-    "agg_list_conditional": (_repeated_lists, "SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list(l_partkey)), ',') AS parts, count(*) FILTER (l_partkey > 100) AS high FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
-    "agg_count_distinct_join": (_lonely_customers, "SELECT count(DISTINCT o.o_custkey) AS n FROM orders o LEFT JOIN customer e ON o.o_custkey = e.c_custkey AND e.c_mktsegment = 'MACHINERY' WHERE e.c_custkey IS NULL"),
-    "jon_cross_capture": (_pairs, _EV + "SELECT a.user_id, count(*) AS pairs FROM ev a JOIN ev b ON a.user_id = b.user_id WHERE a.event_type = 'click' AND b.event_type = 'purchase' GROUP BY 1"),
-    "jon_stream_joinback": (_joined_back, _EV + "SELECT e.frame_number, s.pkt_count FROM ev e JOIN (SELECT user_id, count(*) AS pkt_count FROM ev WHERE event_type = 'click' GROUP BY 1) s ON e.user_id = s.user_id WHERE e.event_type = 'click'"),
-    "jon_backfill": (_backfill, "SELECT d.doc_id AS frame_number, d.lang, l.quality FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id"),
     "jon_drift_missing": (_drift, "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels s WHERE s.doc_id = d.doc_id) ORDER BY 1 LIMIT 5"),
     "jon_annotation_orphans": (_orphans, "SELECT l.doc_id AS target_id, l.quality, NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en') AS orphaned FROM labels l"),
     "set_key_equality": (_key_equality, "SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unseen, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS unknown, (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS repeated"),
@@ -305,8 +271,8 @@ PAIRS: dict[str, PairOf] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in PAIRS.items()}
+    return {k: f for k, (f, _) in (PAIRS | capture_queries.PAIRS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in PAIRS.items()}
+    return {k: s for k, (_, s) in (PAIRS | capture_queries.PAIRS).items()}
