@@ -1,6 +1,6 @@
 import numpy as np
 
-from wirelake.llm.op03_embedding import THRESHOLD, decode, duplicates
+from wirelake.llm.op03_embedding import PROBES, RECALL, THRESHOLD, cells, decode, duplicates, plan
 
 
 def brute(vectors, threshold=THRESHOLD):
@@ -60,3 +60,47 @@ def test_large_group(spark):
     rows = [(i, [float(x) for x in c + 0.02 * r.normal(size=64)]) for i in range(1500)]
     got = duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert len(got) == 1499 and {r["duplicate_of"] for r in got} == {0} and {r["group_size"] for r in got} == {1500}
+
+
+def test_unrelated_vectors_meet_rarely_however_many_there_are():
+    """Candidates of a vector, counted in full: about as many among five times the vectors."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    each, keys = [], []
+    for n in (4_000, 20_000):
+        p = plan(x[:1000], n)
+        met = 0
+        entered = cells(x[:n], p.tables, p.blocks, PROBES, 1.0)
+        for t in range(p.tables):
+            _, k = np.unique(entered[:, t], return_counts=True)
+            met += (k * (k - 1) // 2).sum()
+        each.append(met / n)
+        keys.append(p.tables * (1 + PROBES))
+    assert each[1] < 2 * each[0] + 5 and keys[1] < 2 * keys[0]
+
+
+def test_recall_at_the_threshold():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(2_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.normal(size=x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = THRESHOLD * x + np.sqrt(1 - THRESHOLD**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for n in (1_000, 100_000):
+        p = plan(x, n)
+        a, b = (cells(v, p.tables, p.blocks, PROBES, 1.0) for v in (x, y))
+        assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() > RECALL - 0.015
+
+
+def test_a_dense_topic_among_many_vectors(spark):
+    """A third of the vectors lie within a cosine of 0.8 of one another, below the threshold: nothing groups but the planted copies."""
+    r = np.random.default_rng(7)
+    topic = r.normal(size=64)
+    topic /= np.linalg.norm(topic)
+    v = r.normal(size=(3_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[:1_000] = 0.9 * topic + np.sqrt(0.19) * v[:1_000]
+    rows = [(i, [float(e) for e in x]) for i, x in enumerate(v)] + [(10_000 + i, [float(e) for e in v[i] + 0.01 * r.normal(size=64)]) for i in range(0, 3_000, 10)]
+    got = {x["vec_id"]: x["duplicate_of"] for x in duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {10_000 + i: i for i in range(0, 3_000, 10)}

@@ -127,6 +127,14 @@ def test_odd_documents(spark):
     assert sorted(r["doc_id"] for r in m.deduplicated(twice).collect()) == [1, 2]
 
 
+def test_the_same_rows_without_broadcasts(spark, monkeypatch):
+    """The way that tables take whose keys are too many to broadcast."""
+    df = spark.createDataFrame(planted(40, 4), SCHEMA)
+    want, left = rows_of(m.duplicates(df)), rows_of(m.deduplicated(df))
+    monkeypatch.setattr(m, "checked_broadcast", lambda x, *_: x)
+    assert rows_of(m.duplicates(df)) == want and rows_of(m.deduplicated(df)) == left and want
+
+
 def test_one_of_each_group_stays(spark):
     rows = planted(60, 3)
     df = spark.createDataFrame(rows, SCHEMA)

@@ -44,3 +44,12 @@ def test_odd_documents(spark, tmp_path):
     key = repr
     assert sorted(got, key=key) == sorted((((r["doc_id"] is None, r["doc_id"]), direct(r["text"])) for r in df.collect()), key=key)
     assert t.counted(empty(spark), str(tmp_path / "e")).count() == 0
+
+
+def test_the_same_counts_without_broadcasts(spark, tmp_path, monkeypatch):
+    """The way that a table takes whose misses are too many to broadcast."""
+    df = odd(spark)
+    rows = lambda at: sorted((repr(tuple(r)) for r in t.counted(df, str(tmp_path / at)).collect()))
+    want = rows("a")
+    monkeypatch.setattr(t, "checked_broadcast", lambda x, *_: x)
+    assert rows("b") == want and spark.read.parquet(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "b")).count()
