@@ -16,4 +16,4 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="wirelake-")
-    return f"{named.removeprefix('file://').rstrip('/') if named.startswith('file://') else named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
