@@ -63,3 +63,19 @@ def test_make_and_check(tmp_path, capsys):
         (tmp_path / "c.toml").write_text(bad)
         with pytest.raises(ValueError):
             load_config(tmp_path / "c.toml")
+
+
+def test_stubs(tmp_path, capsys):
+    import ast
+
+    at = tmp_path / "protocols.pyi"
+    assert main(["stubs", "--stub", str(at)]) == 0
+    classes = {n.name: {x.target.id for x in n.body if isinstance(x, ast.AnnAssign)} for n in ast.parse(at.read_text()).body if isinstance(n, ast.ClassDef)}
+    assert classes["_TCP"] == set(dir(TCP)) and classes["_DNS"] == set(dir(DNS)) and len(classes) == 38
+    assert "    port: FieldRef  # tcp.port FT_UINT16[]\n" in at.read_text()
+
+
+def test_data_tell_their_origin():
+    from importlib.resources import files
+
+    assert all(p.read_text(encoding="utf-8").startswith("# ") for p in files("wirelake.protocols").joinpath("data").iterdir())

@@ -1,4 +1,4 @@
-"""``python -m wirelake.protocols check|write``: the catalog against a dissector's fields."""
+"""``python -m wirelake.protocols check|write|stubs``: the catalog against a dissector's fields, and its type stub."""
 
 from __future__ import annotations
 
@@ -7,17 +7,23 @@ import subprocess
 import sys
 from pathlib import Path
 
-from wirelake.protocols.catalog import drifted, generate, load_config
+from wirelake.protocols.catalog import drifted, generate, load_config, read_catalog, stubs
 from wirelake.sources.process import program, version
 
 
 def main(argv: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(prog="python -m wirelake.protocols")
-    a.add_argument("command", choices=("check", "write"))
+    a.add_argument("command", choices=("check", "write", "stubs"))
     a.add_argument("--config", default="catalog.toml")
     a.add_argument("--folder", default=str(Path(__file__).with_name("data")))
     a.add_argument("--dissector")
+    a.add_argument("--stub", default=str(Path(__file__).with_name("__init__.pyi")))
     o = a.parse_args(argv)
+    if o.command == "stubs":
+        have = [read_catalog(p.read_text(encoding="utf-8")) for p in sorted(Path(o.folder).glob("*.txt"))]
+        Path(o.stub).write_text(stubs(have), encoding="utf-8")
+        print(f"{len(have)} protocols in {o.stub}")
+        return 0
     try:
         config, tool = load_config(o.config), program(o.dissector)
         said = version(tool)

@@ -101,6 +101,17 @@ def write_catalog(c: ProtocolCatalog, header: Iterable[str] = ()) -> str:
     return "".join(f"# {h}\n" for h in header) + f"{c.abbrev} {c.title}\n" + "".join(f"{t}: {' '.join(sorted(xs))}\n" for t, xs in sorted(by.items()))
 
 
+def stubs(catalogs: Iterable[ProtocolCatalog]) -> str:
+    """A type stub of ``wirelake.protocols`` for editors and type checkers: a class for each protocol, with its fields and what they hold."""
+    out = ["from wirelake.expr import FieldRef", "", "class Protocol:", "    def __call__(self, packet) -> object: ...", "", "def names() -> tuple[str, ...]: ...", "def protocol(name: str) -> Protocol: ..."]
+    for c in catalogs:
+        name = module_name(c.abbrev).upper()
+        kept, _ = chosen((DumpedField("", a, t, c.abbrev) for a, t, _ in c.fields), c.abbrev)
+        multi = {a for a, _, m in c.fields if m}
+        out += ["", f"class _{name}(Protocol):", f'    """{c.title}"""'.replace("\\", ""), *[f"    {attribute(f.abbrev, c.abbrev)}: FieldRef  # {f.abbrev} {f.ftype}{'[]' if f.abbrev in multi else ''}" for f in kept], "", f"{name}: _{name}"]
+    return "\n".join(out) + "\n"
+
+
 def read_catalog(text: str) -> ProtocolCatalog:
     first, *rest = [x for x in text.splitlines() if x and not x.startswith("#")]
     abbrev, _, title = first.partition(" ")
