@@ -144,6 +144,23 @@ def test_streams_opened_again_and_relative_numbers(spark, tmp_path):
     assert [tuple(x[0] for x in r) for r in rows] == [("0", "0", "0", "100"), ("0", "0", "1", "900"), ("0", "1", "1", "101"), ("0", "0", "0", "100"), ("1", "0", "0", "5000"), ("1", "0", "1", "70")]
 
 
+@pytest.mark.parametrize("split", [1, 300, 1_000_000])
+def test_large_files_are_read_in_ranges(spark, tmp_path, split):
+    (tmp_path / "d").mkdir()
+    frames_of = [tcp("10.0.0.1", 1000 + i, "10.0.0.2", 80, 24, bytes(i * 7 % 400)) for i in range(60)]
+    capture(tmp_path / "d" / "a.pcap", frames_of)
+    with open(capture(tmp_path / "d" / "b.pcap", MIXED), "ab") as f:
+        f.write(struct.pack("<IIII", 1, 0, 10, 10) + b"1234")  # a cut-off packet
+    (tmp_path / "d" / "c.pcapng").write_bytes(block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + bytes(0))
+    names = ["frame.number", "frame.time_epoch", "frame.time_relative", "frame.time_delta", "tcp.srcport", "tcp.len"]
+    df = read_pcap(spark, str(tmp_path / "d"), names, split)
+    want = read_pcap(spark, str(tmp_path / "d"), names, 1 << 30)
+    assert sorted(map(repr, df.collect())) == sorted(map(repr, want.collect())) and want.count() == 65
+    assert (df.rdd.getNumPartitions() > 3) == (split < 1_000_000)
+    ordered = read_pcap(spark, str(tmp_path / "d"), ["tcp.stream", "tcp.srcport"], split)
+    assert ordered.rdd.getNumPartitions() == 3 and sorted(int(r[0][0]) for r in ordered.collect() if r[0])[-1] == 59
+
+
 def block(kind, body, end="<"):
     body += bytes(-len(body) % 4)
     return struct.pack(end + "II", kind, len(body) + 12) + body + struct.pack(end + "I", len(body) + 12)

@@ -1,12 +1,15 @@
 """Capture files (classic and pcapng) as a Spark source, dissected in Python: Ethernet, ARP, IPv4, IPv6, ICMP, TCP, UDP, DNS, HTTP/1, TLS.
 
 ``spark.read.format("wirelake_pcap").option("path", ...).option("fields", "ip.src,tcp.port").load()`` gives an array<string> column for each
-field, as a dissector program prints them. Only what the fields need is dissected; ``FIELDS`` names all there are, others are an error. One
-partition for each file: frame and stream numbers count from a file's start.
+field, as a dissector program prints them. Only what the fields need is dissected; ``FIELDS`` names all there are, others are an error. Frame
+and stream numbers count from a file's start. ``read_pcap`` reads large classic files in ranges, after a pass that finds packets' places; a
+file whose stream numbers are asked for, or of the other format, is one partition.
 """
 
 from __future__ import annotations
 
+import io
+import json
 import socket
 import struct
 from collections.abc import Iterable, Iterator
@@ -66,20 +69,68 @@ def packets(file) -> Iterator[tuple[int, int, int, bytes]]:
         if head:
             raise ValueError("a capture file starts with 24 bytes")
         return
-    kinds = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
-    if head[:4] not in kinds:
+    yield from _classic(file, head)
+
+
+_KINDS = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
+
+
+def _classic(file, head: bytes, at: int = 24, end: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+    """The packets from ``at``, where ``file`` stands, up to ``end``."""
+    if head[:4] not in _KINDS:
         raise ValueError(f"no capture file: it starts with {head[:4].hex()}")
-    end, part = kinds[head[:4]]
-    link = struct.unpack(end + "I", head[20:24])[0] & 0xFFFF
-    record = struct.Struct(end + "IIII")
-    while len(h := file.read(16)) == 16:
+    order, part = _KINDS[head[:4]]
+    link = struct.unpack(order + "I", head[20:24])[0] & 0xFFFF
+    record = struct.Struct(order + "IIII")
+    while (end is None or at < end) and len(h := file.read(16)) == 16:
         seconds, fraction, kept, length = record.unpack(h)
         data = file.read(kept)
         if len(data) < kept:
             return
+        at += 16 + kept
         yield seconds * 1_000_000 + fraction // part, length, link, data
 
 
+def ranges(file, split: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, packets before, time of the first packet, time of the packet before) of ranges of a classic file; none for other files.
+
+    Only packets' heads are looked at.
+    """
+    head = file.read(24)
+    if len(head) < 24 or head[:4] not in _KINDS:
+        return
+    order, part = _KINDS[head[:4]]
+    record = struct.Struct(order + "IIII")
+    data, base, at = b"", 24, 24  # what is read, where it begins, the next packet
+    start, frames, before = 24, 0, 0
+    state = None
+    while True:
+        if at + 16 > base + len(data):
+            if at > base + len(data) + (64 << 20):
+                file.seek(at)
+                data, base = b"", at
+            while at + 16 > base + len(data):
+                more = file.read(1 << 20)
+                if not more:
+                    break
+                data, base = (data[max(0, at - base) :] + more, max(at, base)) if at - base <= len(data) else (more, base + len(data))
+            if at + 16 > base + len(data):
+                break
+        seconds, fraction, kept, _ = record.unpack_from(data, at - base)
+        micros = seconds * 1_000_000 + fraction // part
+        if state is None:
+            state = (frames, micros, micros)
+            first = micros
+        elif at - start >= split:
+            yield start, at, *state
+            start, state = at, (frames, first, before)
+        before = micros
+        frames += 1
+        at += 16 + kept
+    if state is not None:
+        yield start, at, *state
+
+
 def _blocks(file) -> Iterator[tuple[int, int, int, bytes]]:
     """The packets of a pcapng file behind its first block type: sections of either byte order, several interfaces, any time resolution."""
     kind, end = 0x0A0D0D0A, "<"
@@ -398,8 +449,10 @@ def _seconds(micros: int) -> str:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A file, or the range [start, end) of one behind ``frames`` packets."""
+
+    def __init__(self, path: str, start: int = 0, end: int = 0, frames: int = 0, first: int = 0, before: int = 0):
+        self.path, self.start, self.end, self.frames, self.first, self.before = path, start, end, frames, first, before
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -415,26 +468,27 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
-def _files(path: str) -> tuple[pafs.FileSystem, list[str]]:
+def _files(path: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo]]:
     f, at = filesystem(path)
     info = f.get_file_info(at)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
     infos = [info] if info.type == pafs.FileType.File else f.get_file_info(pafs.FileSelector(at))
-    return f, sorted(i.path for i in infos if i.type == pafs.FileType.File and not i.base_name.startswith(("_", ".")))
+    return f, sorted((i for i in infos if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))), key=lambda i: i.path)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path, names
+    def __init__(self, path: str, names: list[str], index: list):
+        self.path, self.names, self.index = path, names, index
 
     def partitions(self) -> list[_File]:
-        return [_File(p) for p in _files(self.path)[1]] or [_File("")]
+        parted = {x[0] for x in self.index}
+        return [_File(*x) for x in self.index] + [_File(i.path) for i in _files(self.path)[1] if i.path not in parted] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        f, _ = _files(self.path)
+        f, _ = filesystem(self.path)
         kind = pa.list_(pa.string())
         schema = pa.schema([(n, kind) for n in self.names])
         d = Dissector(self.names)
@@ -448,8 +502,16 @@ class _Reader(DataSourceReader):
                 c.clear()
             return out
 
-        with f.open_input_stream(partition.path, buffer_size=1 << 20) as file:
-            for p in packets(file):
+        def opened(file) -> Iterator[tuple[int, int, int, bytes]]:
+            if not partition.end:
+                return packets(file)
+            d.frame, d.first, d.before = partition.frames, partition.first, partition.before
+            head = file.read(24)
+            file.seek(partition.start)
+            return _classic(file, head, partition.start, partition.end)
+
+        with io.BufferedReader(f.open_input_file(partition.path), 1 << 20) as file:
+            for p in opened(file):
                 found = d.fields(*p)
                 for n, c in columns:
                     c.append(found.get(n, none))
@@ -473,10 +535,32 @@ class PcapSource(DataSource):
         return ", ".join(f"`{n}` array<string>" for n in self._names())
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], schema.names)
+        return _Reader(self.options["path"], schema.names, json.loads(self.options.get("index", "[]")))
+
+
+#: Fields that only a file's whole course tells.
+_IN_ORDER = frozenset(("tcp.stream", "udp.stream", "tcp.seq", "tcp.ack"))
 
 
-def read_pcap(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+def read_pcap(spark: SparkSession, path: str, names: list[str], split_bytes: int = 64 << 20) -> DataFrame:
+    """Raw columns of a capture file, or of a folder's. Classic files beyond ``split_bytes`` are read in ranges of about that size."""
     check_fields(names)
     spark.dataSource.register(PcapSource)
-    return spark.read.format("wirelake_pcap").option("path", qualified(spark, path)).option("fields", ",".join(names)).load()
+    path = qualified(spark, path)
+    index: list = []
+    if _IN_ORDER.isdisjoint(names):
+        large = [i.path for i in _files(path)[1] if i.size > split_bytes]
+        if large:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                f, _ = filesystem(path)
+                for b in batches:
+                    for p in b.column(0).to_pylist():
+                        with f.open_input_file(p) as file:
+                            rows = [(p, *r) for r in ranges(file, split_bytes)]
+                        cols = list(zip(*rows)) or [[]] * 6
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5))], ["path", "start", "end", "frames", "first", "before"])
+
+            found = spark.createDataFrame([(p,) for p in large], "path string").repartition(len(large)).mapInArrow(run, "path string, start long, end long, frames long, first long, before long")
+            index = sorted(tuple(r) for r in found.collect())  # as many rows as ranges
+    return spark.read.format("wirelake_pcap").option("path", path).option("fields", ",".join(names)).option("index", json.dumps(index)).load()
