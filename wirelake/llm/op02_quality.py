@@ -149,7 +149,7 @@ def _d2() -> Column:
     return sum((c[i] * c[j] * F.col("inv")[q] * (1.0 if i == j else 2.0) for q, (i, j) in enumerate(_PAIRS)), F.lit(0.0))
 
 
-_PARAMS = "fit string, start int, mean array<double>, inv array<double>, logdet double, n long"
+_PARAMS = "fit string, start int, mean array<double>, inv array<double>, logdet double, n long, edge int"
 
 
 def _solve(factor: float, floor: float):
@@ -166,8 +166,8 @@ def _solve(factor: float, floor: float):
                     cov[i, j] = cov[j, i] = r[f"q{q}"] / n - mean[i] * mean[j]
                 cov = cov * factor + np.eye(_P) * floor**2
                 inv = np.linalg.inv(cov)
-                out.append((r["fit"], int(r["start"]), mean.tolist(), [inv[i, j] for i, j in _PAIRS], float(np.linalg.slogdet(cov)[1]), int(n)))
-            yield pd.DataFrame(out, columns=["fit", "start", "mean", "inv", "logdet", "n"])
+                out.append((r["fit"], int(r["start"]), mean.tolist(), [inv[i, j] for i, j in _PAIRS], float(np.linalg.slogdet(cov)[1]), int(n), int(r.get("edge", 0))))
+            yield pd.DataFrame(out, columns=["fit", "start", "mean", "inv", "logdet", "n", "edge"])
 
     return run
 
@@ -183,8 +183,8 @@ def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in f.to_dict("records"):
             mad = np.maximum(1.4826 * np.array(r["mad"], float), FLOOR)
             for start, sd in enumerate((mad, np.full(_P, FLOOR * 3))):
-                out.append((r["fit"], start, list(r["mid"]), [1 / sd[i] ** 2 if i == j else 0.0 for i, j in _PAIRS], float(2 * np.log(sd).sum()), int(r["n"])))
-        yield pd.DataFrame(out, columns=["fit", "start", "mean", "inv", "logdet", "n"])
+                out.append((r["fit"], start, list(r["mid"]), [1 / sd[i] ** 2 if i == j else 0.0 for i, j in _PAIRS], float(2 * np.log(sd).sum()), int(r["n"]), 0))
+        yield pd.DataFrame(out, columns=["fit", "start", "mean", "inv", "logdet", "n", "edge"])
 
 
 def mcd(rows: DataFrame, support: float = SUPPORT, floor: float = FLOOR, tolerance: float = TOLERANCE) -> DataFrame:
@@ -204,20 +204,29 @@ def mcd(rows: DataFrame, support: float = SUPPORT, floor: float = FLOOR, toleran
     params = cut(mads.mapInPandas(_starts, _PARAMS))
     nearest = Window.partitionBy("fit", "start").orderBy("b")
     whole = Window.partitionBy("fit", "start")
-    first = True
+    first, lump = True, False
     while True:
-        at = rows.join(hint(params), "fit").withColumn("b", F.floor(F.log2(1 + _d2()) * _RES).cast("int"))
+        b = F.floor(F.log2(1 + _d2()) * _RES).cast("int")
+        if lump:
+            # Edges hardly move between steps: what is an octave off the last one is summed up in one shell below and one above.
+            b = F.greatest(F.least(b, F.col("edge") + _RES), F.col("edge") - _RES)
+        at = rows.join(hint(params), "fit").withColumn("b", b)
         shells = at.groupBy("fit", "start", "b").agg(*_sums())
         near = shells.withColumn("upto", F.sum("n").over(nearest)).withColumn("all", F.sum("n").over(whole)).filter(F.col("upto") - F.col("n") < support * F.col("all"))
         names = ["n", *[f"s{k}" for k in range(_P)], *[f"q{i}" for i in range(len(_PAIRS))]]
-        new = near.groupBy("fit", "start").agg(*[F.sum(c).alias(c) for c in names]).mapInPandas(_solve(consistency(support, _P), floor), _PARAMS)
+        new = near.groupBy("fit", "start").agg(*[F.sum(c).alias(c) for c in names], F.max("b").alias("edge")).mapInPandas(_solve(consistency(support, _P), floor), _PARAMS)
         # An estimate whose determinant doesn't fall has converged and stays, so the loop ends. The starts' own determinants are of other scales.
-        old = params.select("fit", "start", *[F.col(c).alias(f"old_{c}") for c in ("mean", "inv", "logdet", "n")])
+        kept_too = ("mean", "inv", "logdet", "n")
+        old = params.select("fit", "start", *[F.col(c).alias(f"old_{c}") for c in (*kept_too, "edge")])
         moved = F.lit(first) | (F.col("logdet") < F.col("old_logdet") - tolerance)
-        params = cut(new.join(hint(old), ["fit", "start"]).withColumn("moved", moved).select("fit", "start", *[F.when(F.col("moved"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in ("mean", "inv", "logdet", "n")], "moved"))
-        done, first = params.filter("moved").isEmpty(), False
-        params = params.drop("moved")
-        if done:
+        off = F.lit(lump) & (F.abs(F.col("edge") - F.col("old_edge")) >= _RES)
+        stepped = cut(new.join(hint(old), ["fit", "start"]).withColumn("moved", moved).select("fit", "start", *[F.when(F.col("moved"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in kept_too], "edge", "moved", off.alias("off")))
+        any_moved, any_off = stepped.agg(F.max("moved"), F.max("off")).first()
+        if any_off:
+            lump = False  # an edge is in a summed-up shell: this step again, with all shells
+            continue
+        params, first, lump = stepped.drop("moved", "off"), False, True
+        if not any_moved:
             break
     best = Window.partitionBy("fit").orderBy("logdet", "start")
     params = cut(params.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r"))
