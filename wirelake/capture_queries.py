@@ -18,10 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelake.binding import column_name, query_over
-from wirelake.errors import ColumnNameCollisionError, FieldDeclarationMismatchError, FieldNotDissectedError, FieldNotMaterializedError, MaterializationMismatchError, MissingStreamFieldsError, WorkspaceAliasError, WorkspaceModeError
+from wirelake.errors import (
+    ColumnNameCollisionError,
+    FieldDeclarationMismatchError,
+    FieldNotDissectedError,
+    FieldNotMaterializedError,
+    FieldNotProjectedError,
+    MaterializationMismatchError,
+    MissingStreamFieldsError,
+    SchemaVersionError,
+    UnsupportedSqlExprError,
+    WorkspaceAliasError,
+    WorkspaceError,
+    WorkspaceModeError,
+)
 from wirelake.expr import FieldRef, conjuncts, field_refs
 from wirelake.ftypes import from_text
 from wirelake.operators.rollup import REQUIRED, duration
+from wirelake.plans.columns import compile_column
 from wirelake.plans.display import compile_display
 from wirelake.protocols import IP, TCP, UDP
 from wirelake.protocols.catalog import ProtocolCatalog, attribute, chosen, parse_dump, read_catalog, write_catalog
@@ -29,7 +43,8 @@ from wirelake.scratch import scratch_folder
 from wirelake.sources import ek_json, process
 from wirelake.sources.capture import Capture, Dumped, needs
 from wirelake.sources.pcap import filesystem, qualified
-from wirelake.workspace import Workspace
+from wirelake.workspace import Workspace, fingerprint
+from wirelake.workspace.catalog import Catalog, covering
 
 NUMBER, EPOCH = FieldRef("frame.number", "FT_FRAMENUM"), FieldRef("frame.time_epoch", "FT_ABSOLUTE_TIME")
 LENGTH = FieldRef("frame.len", "FT_UINT32")
@@ -311,6 +326,32 @@ def _command(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, [(i, a) for i, a in enumerate(argv)], "i long, argument string")
 
 
+_HOST = FieldRef("http.host", "FT_STRING")
+
+
+def _drifted(spark: SparkSession, sf: str) -> DataFrame:
+    """What a backfill says when stored rows are gone that the capture still gives."""
+    ws = _materialized(spark, sf, IP.src)
+    with ws.write() as change:
+        change.put("pkts", change.sql("SELECT * FROM pkts WHERE frame_number % 100 <> 7"))
+    try:
+        ws.materialize(capture_of_events(spark, sf), [IP.src, TCP.len])
+        said = "nothing"
+    except WorkspaceError as e:
+        said = str(e)
+    return _table(spark, [(said, ",".join(sorted(f.abbrev for f in ws.catalog.fields)))], "said string, fields string")
+
+
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A workspace's course in its catalog: versions, keys, fields with types, and the next finding's number."""
+    ws = _materialized(spark, sf, IP.src, UDP.length)
+    ws.add_annotation("packet", 1, "seen")
+    ws.add_annotation("packet", 2, "seen")
+    c = Workspace(spark, ws.path).catalog
+    hit = covering(c.keys, c.keys[0].fingerprint, None, c.keys[0].version, ["ip.src"])
+    return _table(spark, [(f.abbrev, f.column_name, f.column_type, f.multi, c.number, len(c.keys), c.next_annotation, hit is not None, fingerprint(capture_of_events(spark, sf)) == c.keys[0].fingerprint) for f in c.fields], "abbrev string, column_name string, column_type string, multi boolean, version long, cache_keys long, next_annotation long, covered boolean, same_print boolean")
+
+
 def _refused(spark: SparkSession, sf: str) -> DataFrame:
     """What isn't a query, and what it is refused with."""
     ws = _materialized(spark, sf, IP.src)
@@ -319,7 +360,10 @@ def _refused(spark: SparkSession, sf: str) -> DataFrame:
         "truth of an expression": (TypeError, lambda: bool(IP.src == "10.0.0.1")), "python's in": (TypeError, lambda: "x" in FieldRef("http.host")), "text as a set": (TypeError, lambda: TCP.port.in_("80")),
         "empty set": (ValueError, lambda: TCP.port.in_([])), "back reference": (ValueError, lambda: FieldRef("http.host").matches(r"(a)\1")), "unknown field": (FieldNotDissectedError, lambda: Capture(spark, path).select(FieldRef("quic.version"))),
         "field that isn't stored": (FieldNotMaterializedError, lambda: ws.query().filter(TCP.len > 1).dataframe()), "field declared otherwise": (FieldDeclarationMismatchError, lambda: ws.query().select(FieldRef("ip.src", "FT_STRING")).dataframe()),
-        "shared column": (ColumnNameCollisionError, lambda: ws.materialize(path, [FieldRef("ip-src")])), "another filter": (MaterializationMismatchError, lambda: ws.materialize(path, [IP.src], filter=TCP.port == 80)),
+        "number in text": (TypeError, lambda: compile_display(FieldRef("http.host").contains(b"x"))), "pattern on numbers": (TypeError, lambda: compile_display(TCP.port.matches("8.*"))),
+        "range that ends early": (ValueError, lambda: compile_display(TCP.port.in_([(9, 3)]))), "unportable pattern": (UnsupportedSqlExprError, lambda: compile_column(_HOST.matches("(?=a)b"), lambda r: F.lit("x"), strict_portable=True)),
+        "layout of another engine": (SchemaVersionError, lambda: Catalog.load('{"layout": "9"}')), "missing workspace": (WorkspaceError, lambda: Workspace(spark, f"{ws.path}-none")), "attached to itself": (WorkspaceAliasError, lambda: ws.attach(ws.path, "me")),
+        "value that wasn't selected": (FieldNotProjectedError, lambda: next(iter(ws.query().select())).get(TCP.srcport)), "shared column": (ColumnNameCollisionError, lambda: ws.materialize(path, [FieldRef("ip-src")])), "another filter": (MaterializationMismatchError, lambda: ws.materialize(path, [IP.src], filter=TCP.port == 80)),
         "streams without fields": (MissingStreamFieldsError, ws.build_streams), "writing a reader": (WorkspaceModeError, lambda: Workspace(spark, ws.path).materialize(path, [IP.src])), "unknown attachment": (WorkspaceAliasError, lambda: ws.query("x")),
     }
     out = []
@@ -333,6 +377,8 @@ def _refused(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _REFUSED = {
+    "number in text": "TypeError", "pattern on numbers": "TypeError", "range that ends early": "ValueError", "unportable pattern": "UnsupportedSqlExprError", "layout of another engine": "SchemaVersionError",
+    "missing workspace": "WorkspaceError", "attached to itself": "WorkspaceAliasError", "value that wasn't selected": "FieldNotProjectedError",
     "truth of an expression": "TypeError", "python's in": "TypeError", "text as a set": "TypeError", "empty set": "ValueError", "back reference": "ValueError", "unknown field": "FieldNotDissectedError", "field that isn't stored": "FieldNotMaterializedError",
     "field declared otherwise": "FieldDeclarationMismatchError", "shared column": "ColumnNameCollisionError", "another filter": "MaterializationMismatchError", "streams without fields": "MissingStreamFieldsError", "writing a reader": "WorkspaceModeError", "unknown attachment": "WorkspaceAliasError",
 }
@@ -377,6 +423,8 @@ PAIRS: dict[str, PairOf] = {
     "ws_annotations": (_annotations, _EVL + "SELECT annotation_id, 'packet' AS scope, target_id, CAST(NULL AS VARCHAR) AS protocol, 'quality' AS key, value, TIMESTAMP '2024-05-01 00:00:00' AS created_at, orphaned FROM f UNION ALL SELECT n + 1, 'stream', 7, 'tcp', 'seen', NULL, TIMESTAMP '2024-05-01 00:00:00', TRUE FROM n"),
     "ws_annotations_removed": (_annotations_left, _EVL + "SELECT annotation_id, 'packet' AS scope, target_id, value FROM f WHERE annotation_id > 1 AND NOT orphaned"),
     "ws_annotations_listed": (_found, _EVL + "SELECT annotation_id, target_id, value, orphaned FROM f"),
+    "ws_drift": (_drifted, "SELECT 'the capture no longer gives the stored rows: scanned but not stored: [7, 107, 207, 307, 407]' AS said, 'ip.src' AS fields"),
+    "ws_versions": (_versions, "SELECT 'ip.src' AS abbrev, 'ip_src' AS column_name, 'bigint' AS column_type, FALSE AS multi, 4 AS version, 1 AS cache_keys, 3 AS next_annotation, TRUE AS covered, TRUE AS same_print UNION ALL SELECT 'udp.length', 'udp_length', 'int', FALSE, 4, 1, 3, TRUE, TRUE"),
     "ws_refusals": (_refused, _values(sorted(_REFUSED.items()), "what, refused_with")),
     "ws_compacted": (_compacted, _EV + "SELECT fn AS frame_number, src FROM ev"),
     "ws_held_version": (_held, _EV + "SELECT count(*) AS held, count(*) FILTER (fn % 3 = 0) AS published FROM ev"),
