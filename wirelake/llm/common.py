@@ -19,7 +19,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 #: Bytes of an Arrow batch between the JVM and Python: a running task holds some of them outside the heap and in its worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: glibc's malloc_trim, None with other C libraries.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import checked_broadcast, cut, delete_at_exit, only, scratch_path, small_batches
+from wirelake.llm.common import checked_broadcast, cut, delete_at_exit, give_back, only, scratch_path, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's text is cut into pieces: contractions, words, numbers, signs, white space.
@@ -44,6 +44,7 @@ def _count(path: str, pattern: str):
         for batch in batches:
             n = [len(enc.encode_ordinary(t.as_py())) for t in batch.column("normal")]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "tokens"])
+            give_back()
 
     return run
 
@@ -82,6 +83,7 @@ def token_count(text: str = "text", vocabulary: str = VOCABULARY, pattern: str =
         enc = encoder(vocabulary, pattern)
         for s in texts:
             yield s.map(lambda t: 0 if t is None else len(enc.encode_ordinary(t))).astype("int64")
+            give_back()
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "long")(normalised(F.col(text)))

@@ -18,8 +18,8 @@ _LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(_U64)
 _PLACES = 4096
 _WEIGHT = np.random.default_rng(20_240_501).integers(1, 2**63, _PLACES, dtype=np.int64).astype(_U64) * _U64(2) + _U64(1)
 _K = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.int64).astype(_U64) * _U64(2) + _U64(1)
-#: Bytes that are scanned at a time.
-CHUNK = 1 << 20
+#: Bytes that are scanned at a time; the arrays of a scan take some sixty times as many.
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
