@@ -61,13 +61,16 @@ def _roots() -> np.ndarray:
 
 
 ROOTS = _roots()
+#: One of each root and its negative: the first element that isn't 0 is positive.
+_HALF = ROOTS[ROOTS[np.arange(len(ROOTS)), (ROOTS != 0).argmax(1)] > 0]
 
 
 def cells(vectors: np.ndarray, tables: int, blocks: int, probes: int, cell: float) -> np.ndarray:
     """(n, tables, 1 + probes) keys of the cells that each unit vector enters: its own and the ``probes`` next nearest.
 
     A table projects onto ``blocks`` times eight orthonormal directions, scaled so that ``cell`` of distance is one lattice unit, and
-    decodes each eight to an E8 point. A neighbouring cell has one block's point moved by the least vector nearest to the residual.
+    decodes each eight to an E8 point. A neighbouring cell has one block's point moved by the least vector nearest to the residual
+    (``probes`` is at most 120, the number of those on one side).
     """
     n, d = vectors.shape
     r = np.random.default_rng(808)
@@ -92,18 +95,22 @@ def cells(vectors: np.ndarray, tables: int, blocks: int, probes: int, cell: floa
             out[lo : lo + m, t, 0] = key(own, t)
             if not probes:
                 continue
+            rows = np.arange(m)
             gains, moves = [], []
             for b in range(blocks):
-                g = (x[:, b] - own[:, b]) @ ROOTS.T
-                top = np.argpartition(-g, probes - 1, axis=1)[:, :probes]
-                gains.append(np.take_along_axis(g, top, 1))
-                moves.append(top)
-            gain, move = np.concatenate(gains, 1), np.concatenate(moves, 1)
+                g = (x[:, b] - own[:, b]) @ _HALF.T
+                size = np.abs(g)
+                for _ in range(probes):
+                    top = size.argmax(1)
+                    gains.append(size[rows, top])
+                    moves.append(np.where((g[rows, top] < 0)[:, None], -_HALF[top], _HALF[top]))
+                    size[rows, top] = -1
+            gain, move = np.stack(gains, 1), np.stack(moves, 1)
             best = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
             for q in range(probes):
                 c = best[:, q]
                 point = own.copy()
-                point[np.arange(m), c // probes] += ROOTS[move[np.arange(m), c]]
+                point[rows, c // probes] += move[rows, c]
                 out[lo : lo + m, t, 1 + q] = key(point, t)
     return out
 
