@@ -135,6 +135,45 @@ def test_the_same_rows_without_broadcasts(spark, monkeypatch):
     assert rows_of(m.duplicates(df)) == want and rows_of(m.deduplicated(df)) == left and want
 
 
+def test_lists_of_documents_are_not_broadcast(spark, monkeypatch):
+    """What is broadcast grew with the table up to a million rows, too many for a small driver."""
+    df = spark.createDataFrame(planted(60, 6), SCHEMA)
+    plans = []
+    real = m.cut
+    monkeypatch.setattr(m, "cut", lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or real(x))
+    auto = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(auto)
+    spark.conf.set(auto, "-1")
+    try:
+        got = m.duplicates(df)
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        rows = rows_of(got)
+    finally:
+        spark.conf.set(auto, before)
+    assert rows and len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_sieve_keeps_every_key(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from wirelake.llm import common as c
+
+    rows = spark.range(200_000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 1000).alias("x"))
+    keys = c.cut(rows.filter("id % 50 = 3"))
+    kept = {r["id"] for r in c.sifted(rows, keys, "id", "x").collect()}
+    assert {*range(3, 200_000, 50)} <= kept and len(kept) < 4_000 + 0.03 * 200_000
+    assert c.sifted(rows, keys.limit(0), "id", "x").count() == 0
+    monkeypatch.setattr(c, "SIEVE_MOST", 1 << 15)
+    kept = {r["id"] for r in c.sifted(rows, keys, "id", "x").collect()}
+    assert {*range(3, 200_000, 50)} <= kept and len(kept) < 50_000
+    docs = planted(40, 4)
+    df = spark.createDataFrame(docs, SCHEMA)
+    want = rows_of(m.duplicates(df))
+    monkeypatch.setattr(m, "sieve", lambda *_: (F.lit(0).cast("long"), lambda places: places == 0))
+    monkeypatch.setattr(m, "sifted", lambda x, *_: x)
+    assert want and rows_of(m.duplicates(df)) == want
+
+
 def test_one_of_each_group_stays(spark):
     rows = planted(60, 3)
     df = spark.createDataFrame(rows, SCHEMA)
