@@ -77,7 +77,12 @@ def needs(*fields: FieldRef) -> Callable[[Callable], Callable]:
 
 @dataclass(frozen=True)
 class BuiltIn:
-    """The dissector in Python of ``sources.pcap``; what would be pushed to a program is filtered in Spark."""
+    """The dissector in Python of ``sources.pcap``; what would be pushed to a program is filtered in Spark.
+
+    A folder's files are captures of their own, or, ``continued``, parts of one, in the order of their names.
+    """
+
+    continued: bool = False
 
     def everything(self) -> tuple[FieldRef, ...]:
         """All fields it has, as a predicate that names none sees them."""
@@ -86,7 +91,7 @@ class BuiltIn:
     def version(self) -> str:
         from wirelake import __version__
 
-        return f"wirelake {__version__}"
+        return f"wirelake {__version__}" + ", continued files" * self.continued
 
     def command(self, capture: str, display: str | None, refs: Sequence[FieldRef]) -> list[str]:
         return process.command("wirelake", capture, display, refs)
@@ -94,7 +99,7 @@ class BuiltIn:
     def scan(self, spark: SparkSession, capture: str, display: str | None, pushed: Sequence[Expr], refs: Sequence[FieldRef]) -> DataFrame:
         names = list(dict.fromkeys([*(r.name for r in refs), *(f.name for e in pushed for f in field_refs(e))]))
         check_fields(names)
-        return filter_raw(read_pcap(spark, capture, names), pushed).select(*[f"`{r.name}`" for r in refs])
+        return filter_raw(read_pcap(spark, capture, names, continued=self.continued), pushed).select(*[f"`{r.name}`" for r in refs])
 
 
 @dataclass(frozen=True)
