@@ -1,15 +1,17 @@
-"""Captures in several files and ranges: frames and streams are numbered as in one file that one task reads."""
+"""Captures in several files and ranges: frames and streams are numbered as in one file that one task reads; predicates run where packets are dissected."""
 
 import random
 import struct
 
 import pytest
-from packets import capture, ipv4, udp
+from packets import capture, ipv4, tcp, udp
+from pyspark.errors import PySparkException
 
 from wirelake import capture_queries
 from wirelake.expr import FieldRef
-from wirelake.sources.capture import BuiltIn, Capture
-from wirelake.sources.pcap import Dissector, packets, read_pcap
+from wirelake.protocols import TCP
+from wirelake.sources.capture import BuiltIn, Capture, needs
+from wirelake.sources.pcap import FIELDS, Dissector, packets, read_pcap
 
 NUMBER = FieldRef("frame.number", "FT_FRAMENUM")
 NAMES = ["frame.number", "frame.time_epoch", "frame.time_relative", "frame.time_delta", "tcp.stream", "udp.stream", "tcp.seq", "tcp.ack", "tcp.srcport"]
@@ -60,6 +62,22 @@ def test_continued_files_number_as_one_file(spark, tmp_path, files, split):
     assert max(int(r[4][0]) for r in want if r[4]) > 20
 
 
+def test_predicates_run_where_packets_are_dissected(spark, tmp_path):
+    many = [tcp("10.0.0.1", 1000 + i % 50, "10.0.0.2", 80, 24, bytes(i % 9)) for i in range(300)]
+    path = capture(tmp_path / "a.pcap", many)
+    odd = Capture(spark, path).filter(TCP.port == 80, lambda p: p[TCP].srcport % 2 == 1, needs(FieldRef("frame.len"))(lambda p: int(p["frame.len"][0]) > 60)).raw([NUMBER])
+    assert sorted(int(r[0][0]) for r in odd.collect()) == [i + 1 for i in range(300) if i % 2 and i % 9 > 6]
+    # only the asked field leaves the dissector: the plan has no Python function over all fields
+    plan = odd._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "http.host" not in plan
+    whole = Capture(spark, path).filter(lambda p: len(p) == len(FIELDS) and "dns.a" in p and p["tcp.stream"] == ("7",) and dict(p)["ip.ttl"] == ("64",)).raw([NUMBER])
+    assert whole.count() == 6
+    kept: list = []
+    late = Capture(spark, path).filter(lambda p: kept.append(p) or len(kept) > 1 and kept[0]["dns.id"] == ()).raw([NUMBER])
+    with pytest.raises(PySparkException, match="packet that is over"):
+        late.collect()
+
+
 def test_a_capture_of_events_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     """More users than an address has room for, in several files."""
     spark.range(3000).selectExpr("id * 7 AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN 65543 ELSE id END AS user_id", "CASE WHEN id % 2 = 0 THEN 'click' ELSE 'error' END AS event_type", "1.0D AS value", "'{\"k\": 12}' AS props").write.parquet(str(tmp_path / "events.parquet"))
@@ -71,7 +89,7 @@ def test_a_capture_of_events_is_written_by_many_tasks(spark, tmp_path, monkeypat
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
-    for name in ("snk_rows", "ws_build_streams", "jon_stream_joinback"):
+    for name in ("snk_rows", "ws_build_streams", "jon_stream_joinback", "udf_opaque_predicate"):
         query, sql = capture_queries.PAIRS[name]
         df = query(spark, str(tmp_path))
         want = sorted(map(repr, con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()))

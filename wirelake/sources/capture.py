@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 from typing import Protocol
 
 import pandas as pd
@@ -15,8 +16,9 @@ from wirelake.expr import Expr, FieldRef, field_refs
 from wirelake.ftypes import field_type, occurrences
 from wirelake.plans.columns import compile_column
 from wirelake.plans.planner import Plan, make_plan
+from wirelake.plans.predicate import compile_predicate
 from wirelake.sources import ek_json, fields_text, process
-from wirelake.sources.pcap import FIELDS, check_fields, read_pcap
+from wirelake.sources.pcap import FIELDS, Dissector, check_fields, read_pcap
 from wirelake.sources.program import run_program
 
 
@@ -65,6 +67,53 @@ class RawPacket(dict):
         return self[name] or default
 
 
+class _WholePacket(RawPacket):
+    """A packet of the built-in dissector, which dissects a layer once a field of it is asked for."""
+
+    def __init__(self, found: dict[str, list[str]], dissector: Dissector):
+        super().__init__((n, tuple(v)) for n, v in found.items())
+        self._dissector, self._frame = dissector, dissector.frame
+
+    def __missing__(self, name):
+        if not isinstance(name, str) or name not in FIELDS:
+            return super().__missing__(name)
+        if not self._dissector.has(name):
+            self.update((n, tuple(v)) for n, v in self._dissector.also(name, self._frame).items())
+        return self.setdefault(name, ())
+
+
+def _of_all(method: str) -> Callable:
+    def over_all(self, *args):
+        for n in FIELDS:
+            self[n]
+        return getattr(dict, method)(self, *args)
+
+    return over_all
+
+
+for _m in ("__contains__", "__iter__", "__len__", "__eq__", "__ne__", "__repr__", "__or__", "__ror__", "__reversed__", "keys", "values", "items", "copy"):
+    setattr(_WholePacket, _m, _of_all(_m))
+
+
+@dataclass(frozen=True)
+class _Passes:
+    """Whether a packet passes expressions and then predicates; these see ``names``, or the whole packet if there are none."""
+
+    terms: tuple[Expr, ...]
+    tests: tuple[Callable, ...]
+    names: tuple[str, ...] | None
+
+    def __call__(self, found: dict[str, list[str]], dissector: Dissector) -> bool:
+        if not all(p(found) for p in self.compiled):
+            return False
+        packet = _WholePacket(found, dissector) if self.names is None else RawPacket((n, tuple(found.get(n, ()))) for n in self.names)
+        return all(t(packet) for t in self.tests)
+
+    @cached_property
+    def compiled(self) -> list[Callable]:
+        return [compile_predicate(e) for e in self.terms]
+
+
 def needs(*fields: FieldRef) -> Callable[[Callable], Callable]:
     """Marks a predicate with the fields that it looks at: ``@needs(TCP.port)``."""
 
@@ -84,10 +133,6 @@ class BuiltIn:
 
     continued: bool = False
 
-    def everything(self) -> tuple[FieldRef, ...]:
-        """All fields it has, as a predicate that names none sees them."""
-        return tuple(FieldRef(n, "FT_STRING", True) for n in sorted(FIELDS))
-
     def version(self) -> str:
         from wirelake import __version__
 
@@ -101,6 +146,16 @@ class BuiltIn:
         check_fields(names)
         return filter_raw(read_pcap(spark, capture, names, continued=self.continued), pushed).select(*[f"`{r.name}`" for r in refs])
 
+    def passing(self, spark: SparkSession, capture: str, terms: Sequence[Expr], tests: Sequence[Callable], refs: Sequence[FieldRef]) -> DataFrame:
+        """Raw columns ``refs`` of the packets that pass expressions and then predicates, which are tested where packets are dissected: what
+        they look at doesn't leave the task, and a packet is dissected as far as they look."""
+        named = [r.name for r in (*refs, *(f for e in terms for f in field_refs(e)))]
+        whole = any(not hasattr(t, "reads") for t in tests)
+        seen = None if whole else tuple(dict.fromkeys([*named, *(r.name for t in tests for r in t.reads)]))
+        check_fields(seen or named)
+        of_terms = tuple(dict.fromkeys(f.name for e in terms for f in field_refs(e)))
+        return read_pcap(spark, capture, list(dict.fromkeys(r.name for r in refs)), continued=self.continued, wanted=seen if seen is not None else of_terms, whole=whole, test=_Passes(tuple(terms), tuple(tests), seen))
+
 
 @dataclass(frozen=True)
 class Program:
@@ -159,12 +214,14 @@ class Capture:
     def raw(self, select: Sequence[FieldRef]) -> DataFrame:
         """Raw columns of ``select`` after all terms.
 
-        Predicates see these fields, those that the expressions name, and those of ``needs``; one without ``needs`` sees the whole packet, as
-        far as the dissector can tell what that is (``everything``). ``needs`` saves dissecting what isn't looked at.
+        Predicates see these fields, those that the expressions name, and those of ``needs``; one without ``needs`` sees the whole packet, if
+        the dissector is the built-in one, which tests predicates itself (``passing``).
         """
         plan = self.plan(select)
-        everything = getattr(self.dissector, "everything", lambda: ())
-        seen = [f for t in self.terms for f in (field_refs(t) if isinstance(t, Expr) else t.reads if hasattr(t, "reads") else everything())] if plan.opaque else []
+        if plan.opaque and hasattr(self.dissector, "passing"):
+            terms = [e for e in self.terms if isinstance(e, Expr)]
+            return self.dissector.passing(self.spark, self.path, terms, plan.opaque, select).select(*[f"`{r.name}`" for r in select])
+        seen = [f for t in self.terms for f in (field_refs(t) if isinstance(t, Expr) else getattr(t, "reads", ()))] if plan.opaque else []
         refs = list({r.name: r for r in [*select, *(f for e in plan.residual for f in field_refs(e)), *seen]}.values())
         df = filter_raw(self.dissector.scan(self.spark, self.path, plan.display, plan.pushed, refs), plan.residual)
         if plan.opaque:
