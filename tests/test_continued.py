@@ -94,3 +94,16 @@ def test_a_capture_of_events_is_written_by_many_tasks(spark, tmp_path, monkeypat
         df = query(spark, str(tmp_path))
         want = sorted(map(repr, con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()))
         assert sorted(repr(tuple(r)) for r in df.collect()) == want and want, name
+
+
+def test_findings_of_a_table_are_numbered_in_order(spark, tmp_path):
+    from wirelake.workspace import Workspace
+
+    ws = Workspace(spark, str(tmp_path / "ws"), "rw")
+    ws.add_annotation("packet", 1, "first")
+    rows = spark.range(0, 5000, 1, 9).selectExpr("'packet' AS scope", "(id * 7919) % 5000 AS target_id", "'k' AS key", "CAST(id AS STRING) AS value", "CAST(NULL AS STRING) AS protocol", "CAST(NULL AS TIMESTAMP_NTZ) AS created_at")
+    assert ws.add_annotation_rows(rows, ["target_id"]) == 5000 and ws.add_annotation("packet", 2, "last") == 5002
+    assert ws.annotations().filter("key = 'k' AND annotation_id = target_id + 2").count() == 5000
+    with pytest.raises(ValueError, match="no finding"):
+        ws.add_annotation_rows(rows.withColumn("protocol", rows["key"]), ["target_id"])
+    assert ws.add_annotation_rows(rows.limit(0), ["target_id"]) == 0 and ws.catalog.next_annotation == 5003

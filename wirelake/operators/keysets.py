@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,24 @@ def missing(df: DataFrame, other: DataFrame, key: str, limit: int | None = None)
     return out if limit is None else out.limit(limit)
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, start: int, stage: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """``df`` with its rows' numbers from ``start`` in the order of the columns ``order``, and how many there are.
+
+    Sorted parts are numbered each, and a part's numbers go on from those before: no task sees all rows, as with a window. ``stage`` keeps what
+    is computed once.
+    """
+    at, low = F.col(name), (1 << 33) - 1
+    parts = stage(df.orderBy(*[F.asc_nulls_last(c) for c in order]).withColumn(name, F.monotonically_increasing_id()))
+    counts = sorted((r[0], r[1]) for r in parts.groupBy(F.shiftright(at, 33)).count().collect())
+    offsets, n = [], 0
+    for part, count in counts:
+        offsets.append((part, start + n))
+        n += count
+    earlier = F.broadcast(df.sparkSession.createDataFrame(offsets, "wl_part long, wl_start long"))
+    out = parts.join(earlier, F.shiftright(at, 33) == F.col("wl_part")).withColumn(name, F.col("wl_start") + at.bitwiseAND(F.lit(low)))
+    return out.drop("wl_part", "wl_start"), n
+
+
 @dataclass(frozen=True)
 class Drift:
     """How two sets of row keys differ; the lists are examples."""
