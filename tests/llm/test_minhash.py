@@ -220,3 +220,19 @@ def test_bands_of_unrelated_documents_make_few_pairs(spark):
     sets = spark.range(n).select(F.col("id").alias("node"), F.concat(passage, F.transform(F.sequence(F.lit(0), F.lit(59)), lambda x: own * 1000 + x)).alias("set"))
     roots = {r["node"]: r["root"] for r in bucket_groups(members, verify, lambda ids: m.exact_pairs(sets.join(ids, "node"), 0.5)).collect()}
     assert sum(seen) <= 2 * n and roots == {k: k // 100 * 100 for k in range(n) if k % 100 < 2}
+
+
+def test_spark_broadcasts_little_on_its_own(spark):
+    """The session's threshold is 10 MB by default, and the driver holds what is broadcast several times over."""
+    from wirelake.llm import common as c
+
+    auto = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(auto)
+    with c.small_batches(spark):
+        assert int(spark.conf.get(auto)) <= c.AUTO_BROADCAST
+    assert spark.conf.get(auto) == before
+    keys = c.cut(spark.range(100))
+    with c.sieves_given_back():
+        kept = c.sifted(spark.range(1000), keys, "id")
+        assert c.cut(kept).count() >= 100
+    assert not c._open
