@@ -236,3 +236,31 @@ def test_spark_broadcasts_little_on_its_own(spark):
         kept = c.sifted(spark.range(1000), keys, "id")
         assert c.cut(kept).count() >= 100
     assert not c._open
+
+
+def test_keys_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from wirelake.llm import common as c
+
+    monkeypatch.setattr(c, "SIEVE_BITS", 1)  # crowded bits, so that several levels are needed
+    rows = spark.range(60_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.md5(F.col("id").cast("string")).alias("x"))
+    ours, others = (c.cut(rows.filter(f"coalesce(id, 0) % 3 {op} 0")) for op in ("=", "<>"))
+    got = rows.filter(c.told_apart(ours, others, "id", "x")(F.col("id"), F.col("x")))
+    assert got.count() == 20_000 and got.filter("coalesce(id, 0) % 3 <> 0").count() == 0
+    assert rows.filter(c.told_apart(ours.limit(0), others, "id", "x")(F.col("id"), F.col("x"))).count() == 0
+    monkeypatch.setattr(c, "SIEVE_MOST", 10)
+    assert c.told_apart(ours, others, "id", "x") is None
+
+
+def test_what_is_removed_is_not_broadcast(spark, monkeypatch):
+    """Up to a million ids and keys of what goes were broadcast; joins of Spark's own choice were up to its threshold, which is 10 MB by default."""
+    rows = planted(60, 6)
+    df = spark.createDataFrame([*rows, (None, None, "en", "a", 1)], SCHEMA)
+    plans, auto = [], "spark.sql.autoBroadcastJoinThreshold"
+    real = m.cut
+    monkeypatch.setattr(m, "cut", lambda x: plans.append(spark.conf.get(auto)) or real(x))
+    want = rows_of(m.deduplicated(df))
+    assert "Broadcast" not in m.deduplicated(df)._jdf.queryExecution().executedPlan().toString() and len(want) > 30
+    monkeypatch.setattr(m, "told_apart", lambda *_: None)
+    assert rows_of(m.deduplicated(df)) == want
